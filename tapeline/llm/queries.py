@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tapeline.llm import query_decontaminate
+from tapeline.llm import query_decontaminate, query_tokens
 
 QUERIES = {
+    "op1_token_output": query_tokens.op1_token_output,
+    "op8_best_fit_packing": query_tokens.op8_best_fit_packing,
     "op10_decontaminate": query_decontaminate.op10_decontaminate,
 }
 SQL = {
