@@ -24,7 +24,7 @@ class Pending:
         context = TaskContext.get()
         attempt = context.taskAttemptId() if context else 0
         self.path, self.temporary = f"{base}/{name}", f"{base}/.{name}.{attempt}.tmp"
-        self.stream = self.fs.open_output_stream(self.temporary)
+        self.stream = self.fs.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -38,7 +38,7 @@ class Pending:
 
 def read(folder: str, name: str) -> bytes:
     fs, base = resolve(folder)
-    with fs.open_input_stream(f"{base}/{name}") as stream:
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
         return stream.read()
 
 

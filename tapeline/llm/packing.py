@@ -60,7 +60,8 @@ def sum_of_squares(counts: dict[int, int], size: int) -> tuple[np.ndarray, np.nd
     """Places counts[l] pieces of each length l; gives (length, sequence, offset) of every slot.
 
     Moving a sequence from gap g to gap g - l changes the sum of squares by
-    2 * (open[g - l] - open[g]) + 2, a new one by 2 * open[size - l] + 1; full sequences don't count.
+    2 * (open[g - l] - open[g]) + 2, and by 1 - 2 * open[l] where the piece fills it: full sequences no
+    longer count. A new sequence is opened only where no open one has room, which needs fewer of them.
     """
     total = sum(counts.values())
     length, sequence, offset = (np.zeros(total, np.int64) for _ in range(3))
@@ -75,10 +76,7 @@ def sum_of_squares(counts: dict[int, int], size: int) -> tuple[np.ndarray, np.nd
             if len(have):
                 cost = 2 * (n[have - l] - n[have]) + 2
                 cost[have == l] = -2 * n[l] + 1  # fills the gap
-                best = int(cost.argmin())
-                fresh = 2 * n[size - l] + 1 if l < size else 0
-                if cost[best] <= fresh:
-                    chosen = int(have[best])
+                chosen = int(have[int(cost.argmin())])
             if chosen == size:
                 which, made = made, made + 1
             else:

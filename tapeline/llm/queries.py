@@ -1,12 +1,16 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tapeline.llm import query_decontaminate, query_tokens
+from tapeline.llm import query_decontaminate, query_pages, query_tokens
 
 QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
+    "op5_warc": query_pages.op5_warc,
+    "op6_url_filter": query_pages.op6_url_filter,
     "op8_best_fit_packing": query_tokens.op8_best_fit_packing,
     "op10_decontaminate": query_decontaminate.op10_decontaminate,
 }
 SQL = {
+    "op5_warc": query_pages.WARC_SQL,
+    "op6_url_filter": query_pages.URL_SQL,
     "op10_decontaminate": query_decontaminate.SQL,
 }
