@@ -6,6 +6,7 @@ QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
     "op5_warc": query_pages.op5_warc,
     "op6_url_filter": query_pages.op6_url_filter,
+    "op7_html_text": query_pages.op7_html_text,
     "op8_best_fit_packing": query_tokens.op8_best_fit_packing,
     "op10_decontaminate": query_decontaminate.op10_decontaminate,
 }
