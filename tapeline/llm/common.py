@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 2 << 20
 #: Odd multiplier of the polynomial hashes, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: BASE * INVERSE = 1 modulo 2**64.
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -103,9 +105,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             low = high
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE**0 .. BASE**(n-1) modulo 2**64."""
-    out = np.full(n, BASE, np.uint64)
+def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
     return np.multiply.accumulate(out)

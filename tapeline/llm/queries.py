@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tapeline.llm import query_decontaminate, query_pages, query_tokens
+from tapeline.llm import query_decontaminate, query_dedup, query_pages, query_tokens
 
 QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_url_filter": query_pages.op6_url_filter,
     "op7_html_text": query_pages.op7_html_text,
     "op8_best_fit_packing": query_tokens.op8_best_fit_packing,
+    "op9_suffix_dedup": query_dedup.op9_suffix_dedup,
     "op10_decontaminate": query_decontaminate.op10_decontaminate,
 }
 SQL = {
