@@ -4,6 +4,7 @@ from tapeline.llm import query_decontaminate, query_dedup, query_pages, query_to
 
 QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
+    "op2_ngram_join": query_dedup.op2_ngram_join,
     "op5_warc": query_pages.op5_warc,
     "op6_url_filter": query_pages.op6_url_filter,
     "op7_html_text": query_pages.op7_html_text,

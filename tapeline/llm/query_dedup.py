@@ -3,7 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import suffix_dedup
+from tapeline.llm import ngram_join, suffix_dedup
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ngram_join.near_duplicates(documents).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
