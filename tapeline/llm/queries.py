@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tapeline.llm import query_decontaminate, query_dedup, query_pages, query_tokens
+from tapeline.llm import query_decontaminate, query_dedup, query_pages, query_text, query_tokens
 
 QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
     "op2_ngram_join": query_dedup.op2_ngram_join,
+    "op4_fingerprint": query_text.op4_fingerprint,
     "op5_warc": query_pages.op5_warc,
     "op6_url_filter": query_pages.op6_url_filter,
     "op7_html_text": query_pages.op7_html_text,
