@@ -5,6 +5,7 @@ from tapeline.llm import query_decontaminate, query_dedup, query_pages, query_te
 QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
     "op2_ngram_join": query_dedup.op2_ngram_join,
+    "op3_language": query_text.op3_language,
     "op4_fingerprint": query_text.op4_fingerprint,
     "op5_warc": query_pages.op5_warc,
     "op6_url_filter": query_pages.op6_url_filter,
