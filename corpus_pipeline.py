@@ -1,2 +1,69 @@
+"""The corpus pipeline: language, near duplicates, repeated passages, contamination and packing, in this order.
+
+Every stage but the last returns the columns of documents. Documents without a known language go; of near
+duplicates the one with the smallest id stays; repeated passages are cut from texts (a character that is cut
+in two goes whole, and n_chars follows); contaminated documents go; what is left is packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeline.llm import common, decontaminate, language, ngram_join, query_tokens, suffix_dedup
+from tapeline.llm.query_text import held_out
+
+#: No SQL expresses the first stage; tests compare the others with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; null texts and texts without letters go."""
+    model = language.train(language.sample(docs.where(~held_out())))
+    named = language.identify(docs, model, lang_as="_lang", score_as="_score")
+    return named.where(F.col("_lang") != language.UNKNOWN).drop("_lang", "_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    found = ngram_join.near_duplicates(docs)
+    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings that repeat anywhere."""
+    cut = suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs))
+    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    some = F.size("spans") > 0
+    cut = cut.withColumn("text", F.when(some, whole).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = judged.where(decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id")
+    return docs.join(common.stage(bad, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return query_tokens.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.stage(stage(spark, docs, sf_dir), name)
+        common.free(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
