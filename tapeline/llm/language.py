@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tapeline.llm import common
 from tapeline.llm.suffix_dedup import span_hashes
@@ -274,4 +275,4 @@ def identify(documents: DataFrame, model: Model | None, *, text_col: str = "text
             languages, scores = pool(model, *common.utf8(batch.column(at_text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages), pa.array(scores)], [*batch.schema.names, lang_as, score_as])
 
-    return kept.mapInArrow(predict, kept.schema.add(lang_as, "string").add(score_as, "double"))
+    return kept.mapInArrow(predict, StructType(list(kept.schema.fields)).add(lang_as, "string").add(score_as, "double"))
