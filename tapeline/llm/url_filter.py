@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm import common
+
 MOST_RULES = 5_000_000
 MOST_WRONG = 1_000_000
 #: False-positive rate of the levels after the first; it makes their sizes fall fastest for the bits spent.
@@ -95,7 +97,8 @@ class Bloom:
 
     def _at(self, items: np.ndarray) -> np.ndarray:
         k = np.arange(1, self.probes + 1, dtype=np.uint64) + np.uint64(64 * self.level)
-        return (items[:, :1] + k * items[:, 1:]) % np.uint64(len(self.bits) * 8)
+        # mixed after the sum: else small filters would repeat the same collisions level after level
+        return common.mix(items[:, :1] + k * items[:, 1:]) % np.uint64(len(self.bits) * 8)
 
     def accepts(self, items: np.ndarray) -> np.ndarray:
         at = self._at(items)
