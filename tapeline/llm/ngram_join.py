@@ -11,9 +11,12 @@ Two documents link if 100 * shared >= percent * united shingles. The steps:
    so only documents whose shingles are mostly repeated go on, with their repeated prefix.
 4. Pairs that share a prefix shingle pass the length, positional and suffix filters and are verified once.
    Documents already joined by verified links are not compared again: first a few pairs per document are
-   verified, then all pairs across the components so found. Shingles shared by very many documents are dealt
-   in blocks. Thus a group of near copies costs links in proportion to its size, and no link between
-   components is lost.
+   verified (with the member of a shingle's documents whose shingles are the most common, which sits amid a
+   group of near copies, and with neighbours), then pairs that would span a shingle's components, and at
+   last all pairs across the components so found. A parity
+   sketch of each set bounds the symmetric difference of a pair from below before it is verified. Shingles
+   shared by very many documents are dealt in blocks. Thus a group of near copies costs links in proportion
+   to its size, and no link between components is lost.
 
 Documents with fewer words than a shingle are one shingle; null and empty texts link with nothing and are
 their own component. Rows that repeat an id are one node; each gets a result. Rows without an id are left
@@ -39,7 +42,9 @@ PERCENT = 75
 #: Bytes of text whose shingles travel in one set of blocks; a block's document numbers are 16 bits wide.
 BLOCK_BYTES = 4 << 20
 #: Prefix shingles of a document used for the first links.
-FIRST = 2
+FIRST = 3
+#: Bits of the parity sketch.
+SKETCH = 512
 #: Documents of one shingle that are compared in one task; more are dealt in pairs of blocks.
 DEALT = 1024
 
@@ -170,7 +175,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(frequent: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, tokens (repeated shingles, rare first) of the documents that can have a partner."""
+    """doc_id, n, tokens (repeated shingles, rare first), common (their mean frequency) and sketch of the documents that can have a partner."""
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -186,9 +191,23 @@ def _candidates(frequent: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((tokens, rare, docs))
         which = np.flatnonzero(good)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(have[which])).astype(np.int32)), pa.array(tokens[order].astype(np.int64)))
-        return pa.table({"doc_id": ids[which], "n": n[which], "tokens": lists})
+        common_ = np.bincount(docs, rare, len(ids))[which] / np.maximum(have[which], 1) * 1000
+        return pa.table({"doc_id": ids[which], "n": n[which], "tokens": lists, "common": common_.astype(np.int64), "sketch": sketches(tokens, docs, len(ids))[which].tolist()})
 
-    return frequent.groupBy("batch").applyInArrow(gather, "doc_id long, n long, tokens array<long>")
+    return frequent.groupBy("batch").applyInArrow(gather, "doc_id long, n long, tokens array<long>, common long, sketch binary")
+
+
+def sketches(tokens: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """For each of n documents, whether an odd number of its tokens falls on each of SKETCH places, as bytes.
+
+    Two sketches differ in no more places than the sets differ in tokens.
+    """
+    cells = np.zeros(n * SKETCH, np.uint8)
+    np.bitwise_xor.at(cells, docs * SKETCH + (common.mix(tokens) % np.uint64(SKETCH)).astype(np.int64), 1)
+    packed = np.packbits(cells.reshape(n, SKETCH), axis=1)
+    out = np.empty(n, object)
+    out[:] = [row.tobytes() for row in packed]
+    return out
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
@@ -225,47 +244,87 @@ def _verify(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long, shared long")
 
 
-def _first_pairs(documents: DataFrame, percent: int) -> DataFrame:
-    """A few pairs for each document: with the smallest id, and with a neighbour in size, among those of a shingle."""
-    few = documents.select("doc_id", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("t")).select("doc_id", "n", F.col("t.token").alias("token"))
-    best = few.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max(F.struct("n", "doc_id")).alias("large"))
-    joined = few.join(common.stage(best, "first"), "token")
-    pairs = joined.select(F.explode(F.array(F.col("first.doc_id"), F.col("large.doc_id"))).alias("other"), "doc_id").where("other <> doc_id")
+def _first_pairs(documents: DataFrame) -> DataFrame:
+    """A few pairs for each document among those of its first prefix shingles: with the most common one, the first and the next by commonness."""
+    few = documents.select("doc_id", "n", "common", F.explode(F.slice("prefix", 1, FIRST)).alias("t")).select("doc_id", "n", "common", F.col("t.token").alias("token"))
+    best = few.groupBy("token").agg(
+        F.max(F.struct("common", (-F.col("doc_id")).alias("less"))).alias("centre"),
+        F.min("doc_id").alias("first"),
+        F.max(F.struct("n", "doc_id")).alias("large"),
+        F.count("*").alias("many"),
+    ).where("many > 1")
+    joined = few.join(common.stage(best.select("token", (-F.col("centre.less")).alias("centre"), "first", F.col("large.doc_id").alias("large")), "first"), "token")
+    pairs = joined.select(F.explode(F.array("centre", "first", "large")).alias("other"), "doc_id").where("other <> doc_id")
     return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
 
 
-def _other_pairs(documents: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that share a prefix shingle and pass the filters."""
+class _Groups:
+    """Disjoint groups of labels."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _other_pairs(documents: DataFrame, labels: DataFrame, percent: int, spanning: bool = False) -> DataFrame:
+    """All pairs across components that share a prefix shingle and pass the filters.
+
+    spanning: of each shingle's pairs only those that would join its components if they link, which are
+    fewer than its documents.
+    """
     named = documents.select("doc_id", "n", "prefix").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
     places = common.stage(named.select("doc_id", "n", "component", F.explode("prefix").alias("t")).select("doc_id", "n", "component", "t.*"), "places")
     mixed = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low < high")
     mixed = common.stage(mixed.select("token", F.ceil(F.col("many") / DEALT).cast("int").alias("blocks")), "mixed")
     open_places = places.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sketched = documents.select("doc_id", (F.col("n") - F.size("tokens")).alias("alone"), "sketch")
+    open_places = open_places.join(sketched, "doc_id")
     # a block meets every block once: cell (i, j) with i <= j holds both
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = open_places.select("token", "doc_id", "n", "component", "place", "block", F.explode(cells).alias("cell")).select("token", "doc_id", "n", "component", "place", "block", "cell.*")
+    columns = ["token", "doc_id", "n", "component", "place", "block", "alone", "sketch"]
+    dealt = open_places.select(*columns, F.explode(cells).alias("cell")).select(*columns, "cell.*")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         seen: set[tuple[int, int]] = set()
         for (_, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            doc, n, comp, place, block = (np.array(c) for c in list(zip(*group, strict=True))[3:])
-            for k in range(len(doc)):
-                other = slice(k + 1, None)
+            parts = list(zip(*group, strict=True))[3:]
+            doc, n, comp, place, block, alone = (np.array(c) for c in parts[:6])
+            sketch = np.frombuffer(b"".join(parts[6]), np.uint64).reshape(len(doc), -1)
+            groups = _Groups()
+            for k in range(len(doc) - 1):
+                other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
+                both = n[k] + n[other]
                 low, high = np.minimum(n[k], n[other]), np.maximum(n[k], n[other])
                 rest = np.minimum(n[k] - place[k], n[other] - place[other])
-                fits = (comp[other] != comp[k]) & (100 * low >= percent * high) & ((100 + percent) * rest >= percent * (n[k] + n[other]))
+                fits = (100 * low >= percent * high) & ((100 + percent) * rest >= percent * both)
                 if i != j:
                     fits &= block[other] != block[k]
-                seen.update((min(doc[k], d), max(doc[k], d)) for d in doc[other][fits])
+                other = other[fits]
+                apart = alone[k] + alone[other] + np.bitwise_count(sketch[k] ^ sketch[other]).sum(axis=1)
+                other = other[(100 + percent) * (both[fits] - apart) >= 2 * percent * both[fits]]
+                if spanning:
+                    other = [o for o in other.tolist() if groups.join(int(comp[k]), int(comp[o]))]
+                seen.update((min(doc[k], d), max(doc[k], d)) for d in doc[other].tolist())
             if len(seen) > 100_000:
                 yield _pairs(seen)
                 seen.clear()
         yield _pairs(seen)
 
     n = common.partitions(documents.sparkSession)
-    cells = dealt.select("token", "i", "j", "doc_id", "n", "component", "place", "block").repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "doc_id")
+    cells = dealt.select("token", "i", "j", *columns[1:]).repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "doc_id")
     return cells.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -290,11 +349,13 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
     reps = found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = common.stage(reps.withColumn("prefix", prefix), "representatives")
 
-    links = common.stage(_verify(_first_pairs(reps, percent), reps, percent), "links")
+    links = common.stage(_verify(_first_pairs(reps), reps, percent), "links")
     labels = components(links)
-    more = common.stage(_verify(_other_pairs(reps, labels, percent), reps, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for spanning in (True, False):
+        more = common.stage(_verify(_other_pairs(reps, labels, percent, spanning), reps, percent), "links")
+        if not more.isEmpty():
+            links = common.stage(links.unionByName(more), "links")
+            labels = components(links)
     linked = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     linked = linked.select("n_shingles", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = sized.join(common.stage(linked, "linked"), ["n_shingles", "f1", "f2"], "left")
