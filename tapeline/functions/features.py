@@ -12,6 +12,12 @@ def by_date() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("date")
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """x to so many decimal places, halves up; plain arithmetic, so other engines give the same bits."""
+    unit = F.lit(10.0**places)
+    return F.floor((F.col(x) if isinstance(x, str) else x) * unit + 0.5) / unit
+
+
 def pct(a: Column, b: Column) -> Column:
     """Change from b to a in percent; 0 where b is 0 or missing."""
     return F.when(b.isNull() | (b == 0), F.lit(0.0)).otherwise((a - b) / b * 100)
@@ -34,13 +40,13 @@ def features(bars: DataFrame, p: Params = Params()) -> DataFrame:
         "n_bars": F.row_number().over(w).cast("long"),
         "next_date": F.lead("date").over(w),
         "true_range": F.when(prior.isNotNull(), true_range),
-        "r5": F.round(pct(close, F.lag("close", 5).over(w)), 6),
-        **{f"r20_{lag}": F.round(pct(close, F.lag("close", lag).over(w)), 6) for _, lag, _ in p.arms},
-        "volume_ratio": F.round(F.when(before.isNull() | (before <= 0), F.lit(1.0)).otherwise(F.col("volume") / before), 6),
-        "price_vs_ma20": F.round(pct(close, F.avg("close").over(w.rowsBetween(-19, 0))), 6),
+        "r5": rounded(pct(close, F.lag("close", 5).over(w)), 6),
+        **{f"r20_{lag}": rounded(pct(close, F.lag("close", lag).over(w)), 6) for _, lag, _ in p.arms},
+        "volume_ratio": rounded(F.when(before.isNull() | (before <= 0), F.lit(1.0)).otherwise(F.col("volume") / before), 6),
+        "price_vs_ma20": rounded(pct(close, F.avg("close").over(w.rowsBetween(-19, 0))), 6),
     })
     atr = F.avg("true_range").over(w.rowsBetween(-(p.atr_bars - 1), 0))
-    return out.withColumn("atr", F.round(F.when((F.col("n_bars") > p.atr_bars) & (atr > 0) & (close > 0), atr), 6)).drop("true_range")
+    return out.withColumn("atr", rounded(F.when((F.col("n_bars") > p.atr_bars) & (atr > 0) & (close > 0), atr), 6)).drop("true_range")
 
 
 def avg_value(bars: DataFrame, p: Params = Params()) -> Column:
@@ -74,10 +80,10 @@ def levels(p: Params = Params()) -> dict[str, Column]:
     entry = F.when(F.col("atr").isNotNull(), F.col("close"))
     distance = F.least(F.greatest(p.stop_multiple * F.col("atr"), p.stop_floor * entry), p.stop_ceiling * entry)
     return {
-        "entry": F.round(entry, 6),
-        "sl": F.round(entry - p.stop_multiple * distance, 6),
-        "tp1": F.round(entry + p.target_multiple * distance, 6),
-        "tp2": F.round(entry + p.far_target_multiple * distance, 6),
+        "entry": rounded(entry, 6),
+        "sl": rounded(entry - p.stop_multiple * distance, 6),
+        "tp1": rounded(entry + p.target_multiple * distance, 6),
+        "tp2": rounded(entry + p.far_target_multiple * distance, 6),
     }
 
 

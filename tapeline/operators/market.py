@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.functions.features import rounded
 from tapeline.params import Params
 
 
@@ -32,7 +33,7 @@ def trading_calendar(prices: DataFrame, p: Params = Params()) -> DataFrame:
 def regime(index: DataFrame, p: Params = Params()) -> DataFrame:
     """The index with ma, regime_off (null while there are too few closes) and cap."""
     w = Window.orderBy("date").rowsBetween(-(p.regime_bars - 1), 0)
-    out = index.withColumns({"n": F.count("*").over(w), "ma": F.round(F.avg("close").over(w), 6)})
+    out = index.withColumns({"n": F.count("*").over(w), "ma": rounded(F.avg("close").over(w), 6)})
     off = F.when(F.col("n") >= p.regime_bars, F.col("close") < F.col("ma"))
     cap = F.when(off, p.cap_off).when(~off, p.cap_on).otherwise(p.cap_unknown)
     return out.select("date", "close", F.when(F.col("n") >= p.regime_bars, F.col("ma")).alias("ma"), off.alias("regime_off"), cap.alias("cap"))

@@ -49,7 +49,7 @@ def with_liquidity(at_dates: DataFrame, bars: DataFrame, p: Params = Params()) -
     kind = decisions.schema["row"].dataType
     values = bars.select("ticker", "date", ft.traded_value().alias("value"), F.lit(None).cast(kind).alias("row"))
     days = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-(p.liquidity_days - 1), 0)
-    both = values.unionByName(decisions).withColumn("avg_value", F.round(F.coalesce(F.avg("value").over(days), F.lit(0.0)), 6))
+    both = values.unionByName(decisions).withColumn("avg_value", ft.rounded(F.coalesce(F.avg("value").over(days), F.lit(0.0)), 6))
     return both.where("row is not null").select("ticker", "date", "avg_value", "row.*")
 
 
@@ -100,7 +100,7 @@ def bucket_daily(assigned: DataFrame) -> DataFrame:
 def bucket_average(daily: DataFrame, arm: str = "B0") -> DataFrame:
     """Mean of each bucket over the dates of one arm."""
     long = daily.where(F.col("arm") == arm).unpivot(["date"], list(BUCKETS), "bucket", "tickers")
-    return long.groupBy("bucket").agg(F.round(F.avg("tickers"), 1).alias("avg_tickers"))
+    return long.groupBy("bucket").agg(ft.rounded(F.avg("tickers"), 1).alias("avg_tickers"))
 
 
 def outcomes(signals: DataFrame, dated: DataFrame, p: Params = Params()) -> DataFrame:
@@ -116,7 +116,7 @@ def outcomes(signals: DataFrame, dated: DataFrame, p: Params = Params()) -> Data
     keys = [c for c in signals.columns]
     own = F.get(F.filter("missing", lambda d: d > F.col("date")), F.lit(0))
     halted = F.coalesce(F.when(F.col("gap") >= p.max_hold, own), F.col("suspended"))
-    event = F.when(reason.isNotNull(), F.struct(F.col("no"), F.col("b_date").alias("date"), price.alias("price"), reason.alias("reason"), F.col("b_bars_held").alias("held")))
+    event = F.when(F.col("b_date").isNotNull() & reason.isNotNull(), F.struct(F.col("no"), F.col("b_date").alias("date"), price.alias("price"), reason.alias("reason"), F.col("b_bars_held").alias("held")))
     met = met.withColumn("halted", halted).withColumn("event", event)
     past = F.when(F.col("b_date") < F.col("halted"), F.struct(F.col("no"), F.col("b_close").alias("close"), F.col("b_bars_held").alias("held")))
     out = met.groupBy(*keys, "halted").agg(F.min("event").alias("event"), F.max(past).alias("past"))
@@ -141,11 +141,11 @@ def trade_summary(trades: DataFrame) -> DataFrame:
     upper = F.get(F.sort_array(F.collect_list("ret_pct")), (F.count("*") / 2).cast("int"))
     return trades.groupBy("arm").agg(
         F.count("*").alias("n_closed"),
-        F.round(F.count_if(F.col("net") > 0) / F.count("*") * 100, 2).alias("win_rate_pct"),
-        F.round(F.avg("ret_pct"), 4).alias("mean_ret_pct"),
-        F.round(upper, 4).alias("median_ret_pct"),
-        F.round(F.sum("net"), 2).alias("total_net"),
-        F.round(F.avg("bars_held"), 2).alias("mean_bars_held"),
+        ft.rounded(F.count_if(F.col("net") > 0) / F.count("*") * 100, 2).alias("win_rate_pct"),
+        ft.rounded(F.avg("ret_pct"), 4).alias("mean_ret_pct"),
+        ft.rounded(upper, 4).alias("median_ret_pct"),
+        ft.rounded(F.sum("net"), 2).alias("total_net"),
+        ft.rounded(F.avg("bars_held"), 2).alias("mean_bars_held"),
     )
 
 
@@ -169,7 +169,8 @@ def book(qualified: DataFrame, marks: DataFrame, caps: DataFrame, decisions: Dat
     closes = marks.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("closes"))  # a close for each decision date
     rows = qualified.select("arm", "date", "ticker", "score", "entry", "exit_date", "exit", "exit_reason", "bars_held").join(closes, "ticker")
     held = F.filter("closes", lambda c: (c["date"] >= F.col("date")) & (F.col("exit_date").isNull() | (c["date"] < F.col("exit_date"))))
-    rows = rows.withColumn("closes", F.transform(held, lambda c: c["close"])).withColumn("days", F.transform(held, lambda c: c["date"]))
+    rows = rows.withColumn("held", held).drop("closes")
+    rows = rows.withColumns({"closes": F.transform("held", lambda c: c["close"]), "days": F.transform("held", lambda c: c["date"])}).drop("held")
     calendar = decisions.select("date").join(caps.select("date", "cap"), "date", "left").agg(F.sort_array(F.collect_list(F.struct("date", "cap"))).alias("calendar"))
     calendar = calendar.select(F.transform("calendar", lambda c: c["date"]).alias("dates"), F.transform("calendar", lambda c: c["cap"]).alias("caps"))
     rows = rows.unionByName(rows.sparkSession.createDataFrame([(a[0],) for a in p.arms], "arm string"), allowMissingColumns=True)  # an arm without candidates has days too

@@ -23,7 +23,7 @@ LINES = Params(min_avg_value=5e4, min_active_pct=0.20)
 
 
 def _rounded(df: DataFrame, *columns: str, to: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(c, to) for c in columns})
+    return df.withColumns({c: ft.rounded(c, to) for c in columns})
 
 
 def bars_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ def ohlc_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stale_tail(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.stale_tail(src.from_events(spark, sf).withColumn("close", F.round("close", -2)))
+    return profile.stale_tail(src.from_events(spark, sf).withColumn("close", ft.rounded("close", -2)))
 
 
 def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,7 @@ def atr_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 def avg_value_20d(spark: SparkSession, sf: str) -> DataFrame:
     bars = src.from_events(spark, sf)
-    return bars.select("ticker", "date", F.round(ft.avg_value(bars, EVENTS), 4).alias("avg_value"))
+    return bars.select("ticker", "date", ft.rounded(ft.rounded(ft.avg_value(bars, EVENTS), 6), 4).alias("avg_value"))
 
 
 def regime_ma200(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +195,7 @@ def _assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def signal_gates(spark: SparkSession, sf: str) -> DataFrame:
-    return _candidates(spark, sf).where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "bar_date", "score", F.round("r20", 4).alias("r20"), F.round("avg_value", 4).alias("avg_value"))
+    return _candidates(spark, sf).where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "bar_date", "score", ft.rounded("r20", 4).alias("r20"), ft.rounded("avg_value", 4).alias("avg_value"))
 
 
 def bucket_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
 def exit_events(spark: SparkSession, sf: str) -> DataFrame:
     bars = src.from_events(spark, sf).withColumns({"entry": F.lit(100.0), "sl": F.lit(40.0), "tp1": F.lit(160.0), "bars_held": (F.dayofmonth("date") % 12).cast("long")})
     reason, price = ft.exit_event("", EVENTS)
-    return bars.select("ticker", "date", reason.alias("exit_reason"), F.round(price, 4).alias("exit")).where("exit_reason is not null")
+    return bars.select("ticker", "date", reason.alias("exit_reason"), ft.rounded(price, 4).alias("exit")).where("exit_reason is not null")
 
 
 def trade_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,7 +253,7 @@ def suspended_exits(spark: SparkSession, sf: str) -> DataFrame:
 
 def fees_both_profiles(spark: SparkSession, sf: str) -> DataFrame:
     notional = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("notional"))
-    named = {f"{side}_{profile.lower()}": F.round(ft.fee(F.col("notional"), side, profile), 4) for side in ("buy", "sell") for profile in FEE_PROFILES}
+    named = {f"{side}_{profile.lower()}": ft.rounded(ft.fee(F.col("notional"), side, profile), 4) for side in ("buy", "sell") for profile in FEE_PROFILES}
     return notional.withColumns(named).drop("notional")
 
 
@@ -270,7 +270,7 @@ def _closed(spark: SparkSession, sf: str, qty: int = 100) -> DataFrame:
     out = replay.outcomes(signals, replay.dated_bars(bars, index, dates, EVENTS), EVENTS).where("exit_date is not null")
     gain = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "PROD_FLAT", EVENTS)
     exact = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "AJAIB_EXACT", EVENTS)
-    return out.withColumns({"net": F.round(gain, 6), "net_exact": F.round(exact, 6), "ret_pct": F.round(gain / (F.col("entry") * qty) * 100, 6)})
+    return out.withColumns({"net": ft.rounded(gain, 6), "net_exact": ft.rounded(exact, 6), "ret_pct": ft.rounded(gain / (F.col("entry") * qty) * 100, 6)})
 
 
 def trade_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,7 +286,7 @@ def exit_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fee_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return _closed(spark, sf).groupBy("arm").agg(F.round(F.sum("net"), 2).alias("total_net_flat"), F.round(F.sum("net_exact"), 2).alias("total_net_exact"), F.round(F.sum("net_exact") - F.sum("net"), 2).alias("fee_impact"))
+    return _closed(spark, sf).groupBy("arm").agg(ft.rounded(F.sum("net"), 2).alias("total_net_flat"), ft.rounded(F.sum("net_exact"), 2).alias("total_net_exact"), ft.rounded(F.sum("net_exact") - F.sum("net"), 2).alias("fee_impact"))
 
 
 def trades_only_b0(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,7 +300,7 @@ def trades_common(spark: SparkSession, sf: str) -> DataFrame:
 
 def mark_equity(spark: SparkSession, sf: str) -> DataFrame:
     """Value of 100 shares of every ticker at the close as of each decision date, and cash."""
-    held = asof_last_bar(spark, sf).groupBy("date").agg(F.round(F.sum(F.col("close") * 100) + EVENTS.capital, 2).alias("equity"))
+    held = asof_last_bar(spark, sf).groupBy("date").agg(ft.rounded(F.sum(F.col("close") * 100) + EVENTS.capital, 2).alias("equity"))
     return held
 
 

@@ -188,6 +188,21 @@ STATS = " UNION ALL ".join(_stats(t) for t in _TABLES)
 DELTA = """k AS (SELECT ticker, {d} AS date, bool_or(arm = 'B0') AS l, bool_or(arm = 'B1') AS r FROM {t} GROUP BY 1, 2),
 dl AS (SELECT ticker, date, CASE WHEN l AND r THEN 'common' WHEN l THEN 'only_B0' ELSE 'only_B1' END AS side FROM k)"""
 
+
+
+def _halves_up(sql: str) -> str:
+    """round(x, n) spelled out as plain arithmetic, innermost first."""
+    while (start := sql.rfind("round(")) >= 0:
+        depth, at, comma = 1, start + 6, 0
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[at], 0)
+            comma = at if sql[at] == "," and depth == 1 else comma
+            at += 1
+        unit = repr(10.0 ** int(sql[comma + 1 : at - 1]))
+        sql = f"{sql[:start]}(floor(({sql[start + 6 : comma]}) * {unit} + 0.5) / {unit}){sql[at:]}"
+    return sql
+
+
 SQL: dict[str, str] = {
     "bars_events": f"WITH {EV} SELECT * FROM ev",
     "bars_lineitem": f"WITH {LI} SELECT ticker, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM li",
@@ -216,7 +231,7 @@ SQL: dict[str, str] = {
     "price_vs_ma20": f"WITH {FEATURES} SELECT ticker, date, round(price_vs_ma20, 4) AS price_vs_ma20 FROM ft",
     "score_core": f"WITH {FEATURES} SELECT ticker, date, r5_pts, {_r20_points('r20_19')} AS r20_pts, volume_pts, ma_pts, r5_pts + {_r20_points('r20_19')} + volume_pts + ma_pts AS score FROM ft WHERE n_bars >= 20",
     "atr_levels": f"WITH {FEATURES} SELECT ticker, date, round(atr, 4) AS atr, round(entry, 4) AS entry, round(sl, 4) AS sl, round(tp1, 4) AS tp1, round(tp2, 4) AS tp2 FROM ft WHERE entry IS NOT NULL",
-    "avg_value_20d": f"WITH {EV} SELECT ticker, date, round(coalesce(avg(coalesce(volume, 0) * coalesce(close, 0)) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 19 DAYS PRECEDING AND CURRENT ROW), 0.0), 4) AS avg_value FROM ev",
+    "avg_value_20d": f"WITH {EV} SELECT ticker, date, round(round(coalesce(avg(coalesce(volume, 0) * coalesce(close, 0)) OVER (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 19 DAYS PRECEDING AND CURRENT ROW), 0.0), 6), 4) AS avg_value FROM ev",
     "regime_ma200": f"""WITH {IX}, w AS (SELECT date, close, count(*) OVER r AS n, round(avg(close) OVER r, 6) AS m FROM ix WINDOW r AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
       SELECT date, round(close, 4) AS close, round(CASE WHEN n >= 200 THEN m END, 4) AS ma, CASE WHEN n >= 200 THEN close < m END AS regime_off, CASE WHEN n < 200 THEN 3 WHEN close < m THEN 1 ELSE 2 END AS cap FROM w""",
     "decision_dates": "WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), l AS (SELECT date FROM d ORDER BY date DESC LIMIT 126) SELECT date, row_number() OVER (ORDER BY date) AS seq FROM l",
@@ -248,3 +263,4 @@ SQL: dict[str, str] = {
     "ledger_dangling": "SELECT DISTINCT l_orderkey AS order_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 <> 0)",
     "latest_in_group": "SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS generation FROM orders GROUP BY 1",
 }
+SQL = {name: _halves_up(sql) for name, sql in SQL.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.functions.features import rounded
+
 
 def _bars(rows: DataFrame, volume) -> DataFrame:
     """rows: ticker, date, price, seq (a total order within the day)."""
@@ -38,12 +40,12 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date and close: the market's average price of each day."""
-    return _line_rows(spark, sf_dir).groupBy("date").agg(F.round(F.avg("price"), 6).alias("close"))
+    return _line_rows(spark, sf_dir).groupBy("date").agg(rounded(F.avg("price"), 6).alias("close"))
 
 
 def index_from(bars: DataFrame) -> DataFrame:
     """date and close: the average close of all bars of each day."""
-    return bars.groupBy("date").agg(F.round(F.avg("close"), 6).alias("close"))
+    return bars.groupBy("date").agg(rounded(F.avg("close"), 6).alias("close"))
 
 
 def panels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
