@@ -209,7 +209,9 @@ def book(qualified: DataFrame, marks: DataFrame, caps: DataFrame, decisions: Dat
         for ticker, (r, qty) in positions.items():
             row("OPEN", dates[-1], ticker=ticker, sig_date=r.date, qty=qty, entry=r.entry)
         names = [x.split()[0] for x in BOOK_SCHEMA.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({"qty": "Int64", "bars_held": "Int64", "n_open": "Int64"})
+        frame = pd.DataFrame(out, columns=names).astype({"qty": "Int64", "bars_held": "Int64", "n_open": "Int64"})
+        dates = {c: frame[c].astype(object).where(frame[c].notna(), None) for c in ("date", "sig_date")}  # an all-missing column is no float
+        return frame.assign(**dates)
 
     return rows.groupBy("arm", "profile").applyInPandas(fold, BOOK_SCHEMA)
 
