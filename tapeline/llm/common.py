@@ -25,8 +25,10 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a new one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tapeline-shared-")
         spark.sparkContext.setCheckpointDir(found)
@@ -64,7 +66,29 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that stage() returned; nothing may read them any more."""
+    for df in frames:
+        delete(df.sparkSession, df.staged_path)
+        _staged.remove((df.sparkSession, df.staged_path))
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def sweep(since: int, *keep: DataFrame) -> None:
+    """Delete what was staged after staged_so_far() gave `since`, but for the frames to keep."""
+    kept = {df.staged_path for df in keep}
+    for spark, path in _staged[since:]:
+        if path not in kept:
+            delete(spark, path)
+    _staged[since:] = [x for x in _staged[since:] if x[1] in kept]
 
 
 def free(spark: SparkSession) -> None:

@@ -2,8 +2,8 @@
 
 Two documents link if 100 * shared >= percent * united shingles. The steps:
 
-1. Every document's set of hashed shingles gets its size and a fingerprint; equal sets form a class, of
-   which one document takes part further on.
+1. Every document's set of hashed shingles gets its size and a fingerprint; equal sets form a class and
+   take part further on as one.
 2. The corpus frequency of every shingle is counted: batches of documents send their shingles to ranges of
    hashes as packed blocks, which come back with the frequencies of those that occur twice.
 3. In rare-first order (frequency in powers of two, then hash) a document must share one of its first
@@ -19,8 +19,9 @@ Two documents link if 100 * shared >= percent * united shingles. The steps:
    to its size, and no link between components is lost.
 
 Documents with fewer words than a shingle are one shingle; null and empty texts link with nothing and are
-their own component. Rows that repeat an id are one node; each gets a result. Rows without an id are left
-out. Only id and text are read.
+their own component. Rows that repeat an id are one document: each gets a result, and if their texts differ,
+links of one are links of all (a row without words stays alone). Rows without an id are left out. Only id
+and text are read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ BLOCK_BYTES = 4 << 20
 FIRST = 3
 #: Bits of the parity sketch.
 SKETCH = 512
-#: Documents of one shingle that are compared in one task; more are dealt in pairs of blocks.
-DEALT = 1024
+#: Members of one shingle in a block; two blocks are compared at a time.
+DEALT = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,18 +94,6 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def sets(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a fingerprint of the set) of every document."""
-
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            hashes, at = shingle_sets(*common.utf8(batch.column(1)), words)
-            f1, f2 = _sums(common.mix(hashes), at), _sums(common.mix(hashes ^ common.BASE), at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in (np.diff(at), f1, f2))], ["doc_id", "n_shingles", "f1", "f2"])
-
-    return documents.mapInArrow(size, "doc_id long, n_shingles long, f1 long, f2 long")
-
-
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each value, bytes of equal weight together, so that sorted values compress."""
     raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
@@ -117,40 +107,60 @@ def _values(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _token(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits of each hash that follow the `bits` of its range."""
+    return (hashes << np.uint64(bits)) >> np.uint64(16)
+
+
+def _hash(tokens: np.ndarray, of_range: int, bits: int) -> np.ndarray:
+    """The leading bits (64 at most) of the hashes that _token cut."""
+    return ((tokens << np.uint64(16)) >> np.uint64(bits)) | np.uint64(of_range << (64 - bits))
+
+
+_BLOCKS = pa.schema(
+    [("range", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("f1", pa.binary()), ("f2", pa.binary())]
+)
+_BLOCKS_DDL = "range int, batch long, tokens binary, docs binary, ids binary, sizes binary, f1 binary, f2 binary"
+
+
 def _blocks(documents: DataFrame, words: int, bits: int) -> DataFrame:
-    """Shingles by range of hashes: range, batch, tokens (48 bits below the range's), docs (16 bits); range 0 has the batch's ids and sizes."""
-    schema = "range int, batch long, tokens binary, docs binary, ids binary, sizes binary"
+    """Shingles by range of hashes: range, batch, tokens, docs (16 bits); range 0 has what names the batch's documents.
+
+    A batch is named by its partition and its running number there, so no two batches share a name.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smaller = (b.slice(i, 60_000) for b in common.slices(batches, most=BLOCK_BYTES) for i in range(0, b.num_rows, 60_000))
-        for batch in smaller:
+        first = TaskContext.get().partitionId() << 32
+        for name, batch in enumerate(smaller, first):
             hashes, at = shingle_sets(*common.utf8(batch.column(1)), words)
-            ids = batch.column(0).to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(len(ids)), np.diff(at)).astype(np.uint64)
+            ids, n = batch.column(0).to_numpy().astype(np.int64), np.diff(at)
+            f1, f2 = _sums(common.mix(hashes), at), _sums(common.mix(hashes ^ common.BASE), at)
+            doc = np.repeat(np.arange(len(ids)), n).astype(np.uint64)
             order = np.argsort(hashes, kind="stable")
             hashes, doc = hashes[order], doc[order]
-            tokens = (hashes >> np.uint64(16 - bits)) & np.uint64((1 << 48) - 1)
+            tokens = _token(hashes, bits)
             edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
-            name = int(common.mix(np.array([ids[0], len(ids), ids.sum(), len(hashes)], np.int64).view(np.uint64)).sum().view(np.int64))
+            named = (ids.tobytes(), n.astype("<u4").tobytes(), f1.tobytes(), f2.tobytes())
             rows = [
-                (r, name, _planes(tokens[a:b], 6), _planes(doc[a:b], 2), ids.tobytes() if r == 0 else b"", np.diff(at).astype("<u4").tobytes() if r == 0 else b"")
+                (r, name, _planes(tokens[a:b], 6), _planes(doc[a:b], 2), *(named if r == 0 else (b"",) * 4))
                 for r, (a, b) in enumerate(itertools.pairwise(edges.tolist()))
                 if b > a or r == 0
             ]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "batch", "tokens", "docs", "ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _BLOCKS.types, strict=True)], schema=_BLOCKS)
 
-    return documents.mapInArrow(send, schema)
+    return documents.mapInArrow(send, _BLOCKS_DDL)
 
 
 def _frequent(blocks: DataFrame) -> DataFrame:
     """The same rows with only the shingles that occur in two documents, and the binary logarithm of how many."""
+    schema = _BLOCKS.append(pa.field("rare", pa.binary()))
 
     def count(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         tokens = [_values(r["tokens"], 6) for r in rows]
-        source = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
-        tokens, docs = np.concatenate(tokens), np.concatenate([_values(r["docs"], 2) for r in rows])
+        ends = np.cumsum([0, *(len(t) for t in tokens)]).tolist()
+        tokens = np.concatenate(tokens)
         order = np.argsort(tokens, kind="stable")
         head = np.ones(len(order), bool)
         head[1:] = tokens[order[1:]] != tokens[order[:-1]]
@@ -158,15 +168,14 @@ def _frequent(blocks: DataFrame) -> DataFrame:
         per = np.empty(len(order), np.int64)
         per[order] = np.repeat(times, times)
         out = []
-        for i, r in enumerate(rows):
-            own = slice(*np.searchsorted(source, [i, i + 1]).tolist())
-            keep = per[own] > 1
+        for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+            keep = per[a:b] > 1
             if keep.any() or r["ids"]:
-                rare = np.ceil(np.log2(np.maximum(per[own][keep], 1))).astype(np.uint8)
-                out.append(r | {"tokens": _planes(tokens[own][keep], 6), "docs": _planes(docs[own][keep], 2), "rare": rare.tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([*table.schema, ("rare", pa.binary())]))
+                rare = np.ceil(np.log2(np.maximum(per[a:b][keep], 1))).astype(np.uint8)
+                out.append(r | {"tokens": _planes(tokens[a:b][keep], 6), "docs": _planes(_values(r["docs"], 2)[keep], 2), "rare": rare.tobytes()})
+        return pa.Table.from_pylist(out, schema)
 
-    return blocks.groupBy("range").applyInArrow(count, "range int, batch long, tokens binary, docs binary, ids binary, sizes binary, rare binary")
+    return blocks.groupBy("range").applyInArrow(count, f"{_BLOCKS_DDL}, rare binary")
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -174,27 +183,34 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _candidates(frequent: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, tokens (repeated shingles, rare first), common (their mean frequency) and sketch of the documents that can have a partner."""
+def _gathered(frequent: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Every document: doc_id, n, f1 and f2 (a fingerprint of its set).
+
+    Those that can have a partner also have tokens (repeated shingles, rare first), common (their mean
+    frequency) and sketch.
+    """
+    ddl = "doc_id long, n long, f1 long, f2 long, tokens array<long>, common long, sketch binary"
 
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        names = next(r for r in rows if r["ids"])
-        ids, n = np.frombuffer(names["ids"], np.int64), np.frombuffer(names["sizes"], "<u4").astype(np.int64)
-        tokens = np.concatenate([_values(r["tokens"], 6) | np.uint64(r["range"] << 48) for r in rows])
+        names = next(r for r in rows if r["range"] == 0)
+        ids, f1, f2 = (pa.array(np.frombuffer(names[c], np.int64)) for c in ("ids", "f1", "f2"))
+        n = np.frombuffer(names["sizes"], "<u4").astype(np.int64)
+        tokens = np.concatenate([_hash(_values(r["tokens"], 6), r["range"], bits) for r in rows])
         docs = np.concatenate([_values(r["docs"], 2) for r in rows]).astype(np.int64)
         rare = np.concatenate([np.frombuffer(r["rare"], np.uint8) for r in rows])
-        have = np.bincount(docs, minlength=len(ids))
+        have = np.bincount(docs, minlength=len(n))
         good = (have >= needed(n, percent)) & (n > 0)
         keep = good[docs]
         tokens, docs, rare = tokens[keep], docs[keep], rare[keep]
         order = np.lexsort((tokens, rare, docs))
-        which = np.flatnonzero(good)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(have[which])).astype(np.int32)), pa.array(tokens[order].astype(np.int64)))
-        common_ = np.bincount(docs, rare, len(ids))[which] / np.maximum(have[which], 1) * 1000
-        return pa.table({"doc_id": ids[which], "n": n[which], "tokens": lists, "common": common_.astype(np.int64), "sketch": sketches(tokens, docs, len(ids))[which].tolist()})
+        ends = np.append(0, np.cumsum(np.where(good, have, 0))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~good, False)), pa.array(tokens[order].view(np.int64)))
+        mean = np.bincount(docs, rare, len(n)) / np.maximum(have, 1) * 1000
+        sketch = pa.array([s if g else None for s, g in zip(sketches(tokens, docs, len(n)), good, strict=True)], pa.binary())
+        return pa.Table.from_arrays([ids, pa.array(n), f1, f2, lists, pa.array(mean.astype(np.int64), mask=~good), sketch], ["doc_id", "n", "f1", "f2", "tokens", "common", "sketch"])
 
-    return frequent.groupBy("batch").applyInArrow(gather, "doc_id long, n long, tokens array<long>, common long, sketch binary")
+    return frequent.groupBy("batch").applyInArrow(gather, ddl)
 
 
 def sketches(tokens: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
@@ -221,10 +237,10 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 2) -> int:
     return suffix_bound(a[:i], b[:j], depth - 1) + suffix_bound(a[i:], b[j:], depth - 1)
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, and the shingles they share."""
-    left = documents.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
-    right = documents.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("at"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("bt"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +250,7 @@ def _verify(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
                 x, y = np.sort(at[i].values.to_numpy()), np.sort(bt[i].values.to_numpy())
                 least = -(-percent * (an + bn) // (100 + percent))  # shared / (an + bn - shared) reaches the threshold
                 if suffix_bound(x, y) >= least:
-                    shared = len(x) + len(y) - len(np.union1d(x, y))
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
                     if shared >= least:
                         got.append((a, b, shared))
             columns = list(zip(*got, strict=True)) or [(), (), ()]
@@ -244,18 +260,18 @@ def _verify(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long, shared long")
 
 
-def _first_pairs(documents: DataFrame) -> DataFrame:
-    """A few pairs for each document among those of its first prefix shingles: with the most common one, the first and the next by commonness."""
-    few = documents.select("doc_id", "n", "common", F.explode(F.slice("prefix", 1, FIRST)).alias("t")).select("doc_id", "n", "common", F.col("t.token").alias("token"))
+def _first_pairs(sets: DataFrame) -> DataFrame:
+    """A few pairs for each set among those of its first prefix shingles: with the most common one, the first and the largest."""
+    few = sets.select("node", "n", "common", F.explode(F.slice("prefix", 1, FIRST)).alias("t")).select("node", "n", "common", F.col("t.token").alias("token"))
     best = few.groupBy("token").agg(
-        F.max(F.struct("common", (-F.col("doc_id")).alias("less"))).alias("centre"),
-        F.min("doc_id").alias("first"),
-        F.max(F.struct("n", "doc_id")).alias("large"),
+        F.max(F.struct("common", "node")).alias("centre"),
+        F.min("node").alias("first"),
+        F.max(F.struct("n", "node")).alias("large"),
         F.count("*").alias("many"),
     ).where("many > 1")
-    joined = few.join(common.stage(best.select("token", (-F.col("centre.less")).alias("centre"), "first", F.col("large.doc_id").alias("large")), "first"), "token")
-    pairs = joined.select(F.explode(F.array("centre", "first", "large")).alias("other"), "doc_id").where("other <> doc_id")
-    return pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    joined = few.join(best.select("token", F.array("centre.node", "first", "large.node").alias("others")), "token")
+    pairs = joined.select(F.explode("others").alias("other"), "node").where("other <> node")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 class _Groups:
@@ -277,34 +293,47 @@ class _Groups:
         return x != y
 
 
-def _other_pairs(documents: DataFrame, labels: DataFrame, percent: int, spanning: bool = False) -> DataFrame:
+def _cells(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of each prefix shingle that lies in several components, dealt to cells (token, i, j) in which they meet.
+
+    The members of a shingle's largest component never meet one another: blocks of them meet blocks of the
+    others, and blocks of the others meet each other. A cell holds two blocks of about DEALT members.
+    """
+    named = sets.select("node", "n", "prefix").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    places = common.stage(named.select("node", "n", "component", F.explode("prefix").alias("t")).select("node", "n", "component", "t.*"), "places")
+    mixed = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    counts = places.join(mixed, "token", "left_semi").groupBy("token", "component").agg(F.count("*").alias("many"))
+    shapes = counts.groupBy("token").agg(F.max(F.struct("many", "component")).alias("largest"), F.sum("many").alias("all"))
+    blocks = lambda many: F.ceil(many / DEALT).cast("int")
+    shapes = shapes.select("token", F.col("largest.component").alias("major"), blocks(F.col("all") - F.col("largest.many")).alias("minors"), blocks(F.col("largest.many")).alias("majors"))
+    open_places = places.join(common.stage(shapes, "shapes"), "token")
+    dealt = F.xxhash64("node")
+    major = F.col("component") == F.col("major")
+    block = F.when(major, F.col("minors") + F.pmod(dealt, F.col("majors"))).otherwise(F.pmod(dealt, F.col("minors"))).cast("int")
+    last = F.when(major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
+    meets = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    columns = ["n", "component", "place", "block", "alone", "sketch"]
+    sketched = sets.select("node", (F.col("n") - F.size("tokens")).alias("alone"), "sketch")
+    rows = open_places.withColumn("block", block).withColumn("meets", meets).join(sketched, "node")
+    return rows.select("token", "node", *columns, F.explode("meets").alias("cell")).select("token", "cell.i", "cell.j", "node", *columns)
+
+
+def _other_pairs(sets: DataFrame, labels: DataFrame, percent: int, spanning: bool = False) -> DataFrame:
     """All pairs across components that share a prefix shingle and pass the filters.
 
     spanning: of each shingle's pairs only those that would join its components if they link, which are
-    fewer than its documents.
+    fewer than its members.
     """
-    named = documents.select("doc_id", "n", "prefix").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    places = common.stage(named.select("doc_id", "n", "component", F.explode("prefix").alias("t")).select("doc_id", "n", "component", "t.*"), "places")
-    mixed = places.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low < high")
-    mixed = common.stage(mixed.select("token", F.ceil(F.col("many") / DEALT).cast("int").alias("blocks")), "mixed")
-    open_places = places.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sketched = documents.select("doc_id", (F.col("n") - F.size("tokens")).alias("alone"), "sketch")
-    open_places = open_places.join(sketched, "doc_id")
-    # a block meets every block once: cell (i, j) with i <= j holds both
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    columns = ["token", "doc_id", "n", "component", "place", "block", "alone", "sketch"]
-    dealt = open_places.select(*columns, F.explode(cells).alias("cell")).select(*columns, "cell.*")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         seen: set[tuple[int, int]] = set()
         for (_, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
             parts = list(zip(*group, strict=True))[3:]
-            doc, n, comp, place, block, alone = (np.array(c) for c in parts[:6])
-            sketch = np.frombuffer(b"".join(parts[6]), np.uint64).reshape(len(doc), -1)
+            node, n, comp, place, block, alone = (np.array(c) for c in parts[:6])
+            sketch = np.frombuffer(b"".join(parts[6]), np.uint64).reshape(len(node), -1)
             groups = _Groups()
-            for k in range(len(doc) - 1):
+            for k in range(len(node) - 1):
                 other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
                 both = n[k] + n[other]
                 low, high = np.minimum(n[k], n[other]), np.maximum(n[k], n[other])
@@ -316,15 +345,15 @@ def _other_pairs(documents: DataFrame, labels: DataFrame, percent: int, spanning
                 apart = alone[k] + alone[other] + np.bitwise_count(sketch[k] ^ sketch[other]).sum(axis=1)
                 other = other[(100 + percent) * (both[fits] - apart) >= 2 * percent * both[fits]]
                 if spanning:
-                    other = [o for o in other.tolist() if groups.join(int(comp[k]), int(comp[o]))]
-                seen.update((min(doc[k], d), max(doc[k], d)) for d in doc[other].tolist())
+                    other = np.array([o for o in other.tolist() if groups.join(int(comp[k]), int(comp[o]))], int)
+                seen.update((min(int(node[k]), d), max(int(node[k]), d)) for d in node[other].tolist())
             if len(seen) > 100_000:
                 yield _pairs(seen)
                 seen.clear()
         yield _pairs(seen)
 
-    n = common.partitions(documents.sparkSession)
-    cells = dealt.select("token", "i", "j", *columns[1:]).repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "doc_id")
+    n = common.partitions(sets.sparkSession)
+    cells = _cells(sets, labels).repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
     return cells.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -336,27 +365,35 @@ def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of the documents with the same set) and component_id of every document."""
     docs = common.rows_in(documents, id_col, text_col)
-    spark = docs.sparkSession
-    sized = common.stage(sets(docs, words), "sets")
-    classes = common.stage(sized.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
-
+    spark, since = docs.sparkSession, common.staged_so_far()
     bits = min(16, max(4, int(np.ceil(np.log2(2 * common.partitions(spark))))))
-    found = common.stage(_candidates(_frequent(_blocks(docs, words, bits)), percent), "candidates")
+    found = common.stage(_gathered(_frequent(_blocks(docs, words, bits)), percent, bits), "gathered")
     common.free(spark)
+    key = ["n", "f1", "f2"]
+    sized = common.stage(found.select("doc_id", *key), "sized")
+    classes = common.stage(sized.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
+
     place = F.col("n") - F.size("tokens")  # shingles that occur once come first
     prefix_size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = F.transform(F.slice("tokens", 1, F.greatest(F.lit(0), (prefix_size - place).cast("int"))), lambda t, i: F.struct(t.alias("token"), (place + i).alias("place")))
-    reps = found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = common.stage(reps.withColumn("prefix", prefix), "representatives")
-
-    links = common.stage(_verify(_first_pairs(reps), reps, percent), "links")
+    # a set takes part once, under its fingerprint
+    sets = found.where("tokens is not null").dropDuplicates(key).withColumn("prefix", prefix).withColumnRenamed("f1", "node").drop("doc_id", "f2")
+    sets = common.stage(sets, "sets")
+    common.discard(found)
+
+    links = common.stage(_verify(_first_pairs(sets), sets, percent).select("a", "b"), "links")
+    repeated = sized.where("n > 0").groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("high")).where("a < high")
+    same_id = sized.where("n > 0").join(repeated, "doc_id").where("a < f1").select("a", F.col("f1").alias("b"))
+    links = common.stage(links.unionByName(same_id).distinct(), "links")
     labels = components(links)
     for spanning in (True, False):
-        more = common.stage(_verify(_other_pairs(reps, labels, percent, spanning), reps, percent), "links")
+        more = common.stage(_verify(_other_pairs(sets, labels, percent, spanning), sets, percent).select("a", "b"), "links")
         if not more.isEmpty():
             links = common.stage(links.unionByName(more), "links")
             labels = components(links)
-    linked = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-    linked = linked.select("n_shingles", "f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sized.join(common.stage(linked, "linked"), ["n_shingles", "f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(labels, classes["f1"] == labels["node"], "left").withColumn("group", F.coalesce("component", "f1"))
+    smallest = named.groupBy("group").agg(F.min("class_id").alias("component_id"))
+    linked = common.stage(named.join(smallest, "group").select(*key, "class_id", "component_id"), "linked")
+    common.sweep(since, sized, linked)
+    out = sized.join(linked, key, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
