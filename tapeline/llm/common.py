@@ -136,12 +136,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             low = high
 
 
+_powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps for each base.
+KEPT_POWERS = 1 << 22
+
+
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1) modulo 2**64; not to be written to."""
+    kept = _powers.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1024), base, np.uint64)
+        kept[0] = 1
+        kept = np.multiply.accumulate(kept)
+        if n <= KEPT_POWERS:
+            _powers[int(base)] = kept
+    return kept[:n]
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of bytes follows: the value plus one of each byte times BASE to its place."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
+    return total
 
 
 def mix(x: np.ndarray) -> np.ndarray:

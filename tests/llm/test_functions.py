@@ -1,6 +1,7 @@
 """Brute-force comparisons of the operators' cores, without Spark."""
 
 import collections
+import html
 import io
 import math
 import os
@@ -38,7 +39,7 @@ def test_token_file_detects_damage():
         token_output.unpack(data[:-1] + bytes([data[-1] ^ 1]))
 
 
-ODD = ["", " ", "  a  b", "a\n b", " \n x", "İstanbul ΣΑΣ ς. foo,, bar.,", "don't  we'll 'S", "x\x1cy \x1c z", "é é a ́b", "<|endoftext|> a", "1,234.5 a_b -- ...", "a\u00a0b \u2003 c", "ª º µ ß.", "Ça, été", "a  ", "tab\tx \t y", "日本 語。", "\n\n a\r\n b"]
+ODD = ["", " ", "  a  b", "a\n b", " \n x", "İstanbul ΣΑΣ ς. foo,, bar.,", "don't  we'll 'S", "x\x1cy \x1c z", "é é a ́b", "<|endoftext|> a", "a <|startoftext|> b", "x<|endoftext|>y  <|endoftext|>", "<|ENDOFTEXT|> İ", "1,234.5 a_b -- ...", "a\u00a0b \u2003 c", "ª º µ ß.", "Ça, été", "a  ", "tab\tx \t y", "日本 語。", "\n\n a\r\n b"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -49,9 +50,8 @@ def test_word_encoder_equals_the_library(name):
 
     words = tokens.WordEncoder(paths.path(name))
     library = tokenizers.Tokenizer.from_file(paths.path(name))
-    library.encode_special_tokens = True
     rng = np.random.default_rng(2)
-    alphabet = list("ab é\n\t.,'1²Σİ") + ["  ", " don't", "\u00a0", "ſ", "x̂"]
+    alphabet = list("ab é\n\t.,'1²Σİ") + ["  ", " don't", "\u00a0", "ſ", "x̂", "<|endoftext|>"]
     texts = ODD + ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(1, 60, 300)]
     for text in texts:
         assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
@@ -71,14 +71,37 @@ def test_sum_of_squares_places_every_piece_once():
         assert held == list(range(len(held)))
 
 
-def test_plan_repeats_a_part(monkeypatch):
-    monkeypatch.setattr(packing, "PLAN_PIECES", 10)
-    slots, factor, made = packing.plan({3: 25, 5: 8}, 10)
-    assert factor == 4 and made == int(slots[slots[:, 0] == 0][:, 3].max()) + 1
-    held = collections.Counter()
-    for part, length, *_ in slots.tolist():
-        held[length] += factor if part == 0 else 1
-    assert held == {3: 25, 5: 8}
+@pytest.mark.parametrize(("base", "carried"), [(2, 3), (4, 0), (16, 1024)])
+def test_plan_by_digits_places_every_rank_once(monkeypatch, base, carried):
+    monkeypatch.setattr(packing, "BASE", base)
+    monkeypatch.setattr(packing, "CARRIED", carried)
+    counts, size = {3: 250, 5: 81, 9: 1, 4: 16}, 10
+    slots, ranks = packing.plan(counts, size)
+    places = {(level, length, slot): (sequence, offset) for level, length, slot, sequence, offset in slots.tolist()}
+    cells = set()
+    for length, count in counts.items():
+        for rank in range(count):
+            first, level, copies = [step for step in ranks[length] if step[0] <= rank][-1]
+            sequence, offset = places[level, length, (rank - first) // copies]
+            new = {(sequence + (rank - first) % copies, p) for p in range(offset, offset + length)}
+            assert offset + length <= size and not new & cells
+            cells |= new
+    assert len(cells) == sum(length * count for length, count in counts.items())
+    sequences = collections.Counter(s for s, _ in cells)
+    assert set(sequences) == set(range(len(sequences))) and all((s, n - 1) in cells for s, n in sequences.items())
+
+
+def test_plan_does_not_grow_with_the_corpus():
+    rng = np.random.default_rng(0)
+    lengths, counts = np.unique(np.minimum(np.exp(rng.normal(4, 1, 20_000)), 200).astype(int) + 1, return_counts=True)
+    sizes = []
+    for factor in (1, 1000, 10**6):
+        some = dict(zip(lengths.tolist(), (counts * factor + 3).tolist(), strict=True))
+        slots, ranks = packing.plan(some, 256)
+        sizes.append(len(slots))
+        used = max(s + packing.BASE**level for level, _, _, s, _ in slots.tolist())
+        assert used <= 1.01 * sum(n * c for n, c in some.items()) / 256 + 2
+    assert sizes[2] < 3 * sizes[1] < 300_000
 
 
 def brute_repeats(texts, length):
@@ -91,13 +114,21 @@ def test_suffix_array_marks_repeats(seed):
     rng = np.random.default_rng(seed)
     base = rng.integers(97, 99 + seed, 300).astype(np.uint8).tobytes()
     texts = [base[a : a + n] for a, n in zip(rng.integers(0, 200, 12).tolist(), rng.integers(5, 90, 12).tolist(), strict=True)] + [b"a" * 60]
-    got = suffix_dedup.repeated_starts(texts, [1] * len(texts), 20)
-    assert [g.tolist() for g in got] == brute_repeats(texts, 20)
-    order, packed = suffix_dedup.suffix_array(np.frombuffer(base, np.uint8))
-    assert order.tolist() == sorted(range(len(base)), key=lambda i: base[i:])
-    shared = suffix_dedup.common_prefixes(order, packed, 1 << 30)
-    for a, b in zip(order, order[1:], strict=False):
-        assert shared[b] == len(os.path.commonprefix([base[a:], base[b:]]))
+    for runs, length in zip(suffix_dedup.repeated_runs(texts, [1] * len(texts), (20, 30)), (20, 30), strict=True):
+        got = [[] for _ in texts]
+        for which, first, count in zip(*(x.tolist() for x in runs), strict=True):
+            got[which] += range(first, first + count)
+        assert got == brute_repeats(texts, length)
+    data, sizes = np.frombuffer(base[:-3] + b"\0a\0", np.uint8), np.array([100, 1, 60, 139])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    suffix = [data[i : ends[i]].tobytes() for i in range(len(data))]
+    truth = sorted(range(len(data)), key=lambda i: ([*(b + 1 for b in suffix[i]), 0], ends[i]))
+    wanted = np.flatnonzero(rng.random(300) < 0.6)
+    for order in (suffix_dedup.suffix_array(data, sizes), some := suffix_dedup.suffix_array(data, sizes, wanted)):
+        shared = suffix_dedup.common_prefixes(data, sizes, order, 1 << 30)
+        for k, (a, b) in enumerate(zip(order, order[1:], strict=False), 1):
+            assert shared[k] == len(os.path.commonprefix([suffix[a], suffix[b]]))
+    assert suffix_dedup.suffix_array(data, sizes).tolist() == truth and some.tolist() == [i for i in truth if i in set(wanted.tolist())]
 
 
 def test_equal_strings_have_equal_minimisers():
@@ -106,8 +137,8 @@ def test_equal_strings_have_equal_minimisers():
     keys = []
     for _ in range(2):
         data = np.concatenate([rng.integers(97, 123, 50).astype(np.uint8), shared, rng.integers(97, 123, 70).astype(np.uint8)])
-        first, count, key = suffix_dedup.runs(data, np.array([0, len(data)]), 40, 10)
-        assert count.sum() == len(data) - 39
+        first, count, place, key = suffix_dedup.runs(data, np.array([0, len(data)]), 40, 10)
+        assert count.sum() == len(data) - 39 and (place >= first + count - 1).all() and (place <= first + 30).all()
         whole = np.repeat(key, count)
         keys.append(whole[50 : 50 + 41].tolist())
     assert keys[0] == keys[1]
@@ -189,12 +220,30 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def _words_inside(page):
+    return collections.Counter(w for text, _, _, main in html_text.segments(page) if main for w in html.unescape(text).split())
+
+
 def test_labelled_pages_are_read_back():
-    for page in html_text.LABELLED:
-        text = html_text.main_text(page.replace(" data-main", ""))
-        for around in ("Newsletter", "cookies", "rights reserved", "shoes", "Tell your", "ferry of the year"):
-            assert around not in text
-        assert len(text.split()) > 15
+    for page in html_text.PAGES:
+        assert collections.Counter(html_text.main_text(page.replace(" data-main", "")).split()) == _words_inside(page)
+
+
+def test_pages_held_out():
+    right = extra = missing = 0
+    for k, page in enumerate(html_text.PAGES):
+        weights = html_text.Weights(html_text.PAGES[:k] + html_text.PAGES[k + 1 :])
+        got, want = collections.Counter(html_text.main_text(page.replace(" data-main", ""), weights).split()), _words_inside(page)
+        right, extra, missing = right + (got & want).total(), extra + (got - want).total(), missing + (want - got).total()
+    assert right / (right + extra) > 0.92 and right / (right + missing) > 0.92
+
+
+def test_long_and_deep_pages():
+    deep = html_text.main_text("<article>" + "<div>" * 20_000 + "the words within go on</span></span> here" + "</div>" * 20_000 + "</article>")
+    assert deep == "the words within go on here"
+    assert html_text.main_text("<article><p>words before the tags " + '<a title="x ' * 20_000) == "words before the tags"
+    paragraphs = [f"paragraph {i} has its own few words" for i in range(20_000)]
+    assert html_text.main_text("<nav><a>x</a></nav><article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article>") == "\n\n".join(paragraphs)
 
 
 def test_language_gradients():

@@ -50,7 +50,6 @@ def none(spark):
 
 def library(name):
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -74,7 +73,8 @@ def test_token_files(spark, docs, none, tmp_path):
 
 def test_packing(docs, none, monkeypatch):
     encode = library("byte_bpe_50k.json")
-    monkeypatch.setattr(packing, "PLAN_PIECES", 7)  # so that a plan is repeated
+    monkeypatch.setattr(packing, "BASE", 2)  # so that plans are repeated
+    monkeypatch.setattr(packing, "CARRIED", 5)
     rows = packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, 64).collect()
     texts = {i: encode(t) for i, t, *_ in corpus()}
     cells = collections.Counter()
@@ -113,6 +113,44 @@ def test_near_duplicates(spark, docs, none, monkeypatch):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def _pairs_of_documents(n, shared, alone):
+    """n pairs of documents with `shared` shingles in common and `alone` of their own each."""
+    out = []
+    for k in range(n):
+        first = [f"w{k}x{i}" for i in range(shared + 4)]
+        for side in "ab":
+            out.append((len(out), " ".join(first + [f"{side}{k}y{i}" for i in range(alone)]), None, None, None))
+    return out
+
+
+def test_ngram_join_of_unrelated_documents(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(30)), None, None, None) for i in range(3)]
+    apart = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(apart).collect()) == [(0, 0), (1, 1), (2, 2)]
+    copies = spark.createDataFrame([(10, rows[0][1], None, None, None), (11, None, None, None, None)], SCHEMA)  # one batch with candidates among others
+    both = apart.coalesce(1).unionByName(copies.coalesce(1))
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(both).collect()) == [(0, 0), (1, 1), (2, 2), (10, 0), (11, 11)]
+
+
+@pytest.mark.parametrize(("alone", "linked"), [(8, False), (2, True)])
+def test_ngram_join_of_a_table_that_repeats(spark, tmp_path, alone, linked):
+    rows = _pairs_of_documents(5, 20, alone)
+    once = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for _ in range(2):  # two files of equal rows
+        once.write.mode("append").parquet(f"{tmp_path}/documents")
+    twice = spark.read.option("spark.sql.files.openCostInBytes", 1 << 30).parquet(f"{tmp_path}/documents")
+    for table, times in ((once, 1), (twice, 2)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table).collect())
+        assert got == sorted((i, 20 + alone, i - i % 2 if linked else i) for i, *_ in rows for _ in range(times))
+
+
+def test_ngram_join_of_ids_with_several_texts(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(20))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b")), (3, words("a")), (4, words("c")), (4, words("c")), (5, None), (5, words("c")), (None, words("a"))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 16, 1), (1, 16, 1), (2, 16, 1), (3, 16, 1), (4, 16, 4), (4, 16, 4), (5, 0, 5), (5, 16, 4)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 11] + [(100, 5)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -120,22 +158,69 @@ def test_components(spark):
     assert len(set(got.values())) == 4
 
 
-@pytest.mark.parametrize("hot", [8192, 2])
-def test_repeated_bytes(docs, none, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2: keys are dealt to several shards
-    length = 150
-    texts = {i: (t or "").encode() for i, t, *_ in corpus()}
-    seen = collections.Counter(t[p : p + length] for t in texts.values() for p in range(len(t) - length + 1))
-    rows = {r.doc_id: r for r in suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs, length)).collect()}
-    for i, t in texts.items():
+def _repeated_mask(texts, length):
+    """For each text whether a byte lies in a string of `length` bytes that starts at two places."""
+    seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    masks = []
+    for t in texts:
         mask = bytearray(len(t))
         for p in range(len(t) - length + 1):
             if seen[t[p : p + length]] > 1:
                 mask[p : p + length] = b"\1" * length
-        kept = bytes(b for b, m in zip(t, mask, strict=True) if not m)
-        assert (rows[i].n_bytes, bytes(rows[i].kept), sum(s.n for s in rows[i].spans)) == (len(t), kept, sum(mask)), i
-    assert sum(len(r.spans) > 0 for r in rows.values()) > 6
-    assert suffix_dedup.cut(none, suffix_dedup.repeated_spans(none)).count() == 0
+        masks.append(mask)
+    return masks
+
+
+def _spans(mask):
+    return [(m.start(), len(m[0])) for m in re.finditer(b"\1+", bytes(mask))]
+
+
+@pytest.mark.parametrize(("hot", "reported"), [(256, 1 << 20), (2, 50)])
+def test_repeated_bytes(docs, none, monkeypatch, hot, reported):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2: keys are dealt to several shards
+    monkeypatch.setattr(suffix_dedup, "REPORTED", reported)
+    texts = {i: (t or "").encode() for i, t, *_ in corpus()}
+    short, long = (_repeated_mask(texts.values(), length) for length in (90, 150))
+    clash = docs.withColumn("raw", F.lit(1)).withColumn("spans", F.lit("x")).withColumn("__id", F.lit(2))
+    rows = {r.doc_id: r for r in suffix_dedup.attach(clash, suffix_dedup.repeated_spans(docs, 90, longer=150)).withColumn("kept", suffix_dedup.remaining("longer_spans")).collect()}
+    alone = {r.doc_id: r.spans for r in suffix_dedup.repeated_spans(docs, 150).collect()}
+    for (i, t), a, b in zip(texts.items(), short, long, strict=True):
+        assert rows[i].n_bytes == len(t) and [tuple(s) for s in rows[i].spans] == _spans(a) and [tuple(s) for s in rows[i].longer_spans] == _spans(b), i
+        assert bytes(rows[i].kept) == bytes(x for x, m in zip(t, b, strict=True) if not m) and [tuple(s) for s in alone.get(i, [])] == _spans(b)
+    assert sum(len(r.longer_spans) > 0 for r in rows.values()) > 6
+    assert suffix_dedup.attach(none, suffix_dedup.repeated_spans(none)).count() == 0
+
+
+def test_repeated_bytes_of_a_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 123, 600).astype(np.uint8)
+    rows = []
+    for i in range(60):
+        mine = base.copy()
+        mine[rng.integers(0, 600, 4)] = 65 + i % 26
+        rows.append((i, mine.tobytes().decode()[: int(rng.integers(300, 600))]))
+    rows += [(3, rows[3][1]), (4, rows[9][1][:200]), (70, "x" * 400), (71, None), (None, rows[0][1])]  # ids that repeat, one string that repeats itself
+    got = {}
+    for r in suffix_dedup.attach(spark.createDataFrame(rows, "doc_id long, text string"), suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), 40, longer=100)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, [tuple(s) for s in r.spans], [tuple(s) for s in r.longer_spans]))
+    known = [(i, (t or "").encode()) for i, t in rows if i is not None]
+    short, long = (_repeated_mask([t for _, t in known], length) for length in (40, 100))
+    for (i, t), a, b in zip(known, short, long, strict=True):
+        if i != 4:  # the union of two texts' marks
+            assert (len(t), _spans(a), _spans(b)) in got[i], i
+
+
+def test_passages_by_words(spark):
+    words = [f"wörd{i}" for i in range(60)]
+    edges = [("intro0 xat ", " tail0ö"), ("other1 yat ", " tail1ö"), ("", ""), ("four\n", "\tmore"), ("\u2028é", "é\u2028")]
+    counts = [60, 60, 45, 45, 50]
+    rows = [(i, a + " ".join(words[:n]) + b) for i, ((a, b), n) in enumerate(zip(edges, counts, strict=True))]
+    copies = [(5, " ".join(words[:55])), (6, " ".join(f"x{i}öxx" for i in range(51))), (7, " ".join(f"x{i}öxx" for i in range(51)))]
+    docs_ = spark.createDataFrame([*rows, *copies, (9, None)], "doc_id long, text string")
+    cut = suffix_dedup.attach(docs_, suffix_dedup.repeated_spans(docs_, 240)).withColumn("passages", suffix_dedup.passages(50))
+    got = {r.doc_id: r.left for r in cut.select("doc_id", suffix_dedup.remaining("passages").cast("string").alias("left")).collect()}
+    assert got == {**dict(rows), 0: "intro0 xat  tail0ö", 1: "other1 yat  tail1ö", 5: "", 6: "", 7: "", 9: ""}
 
 
 def test_decontamination(spark, docs, none):
