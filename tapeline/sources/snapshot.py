@@ -10,6 +10,7 @@ import shutil
 import sqlite3
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import closing
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ class SqliteDataSource(DataSource):
         return "sqlite"
 
     def schema(self) -> str:
-        with _open(self.options["path"]) as db:
+        with closing(_open(self.options["path"])) as db:
             columns = db.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
         if not columns:
             raise SnapshotError(f"no table {self.options['table']}")
@@ -75,14 +76,14 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.fields = options["path"], options["table"], schema.fields
 
     def partitions(self) -> list[_Rows]:
-        with _open(self.path) as db:
+        with closing(_open(self.path)) as db:
             low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {_quoted(self.table)}").fetchone()
         return [_Rows(a, min(high, a + ROWS_A_TASK - 1)) for a in range(low, high + 1, ROWS_A_TASK)]
 
     def read(self, part: _Rows) -> Iterator[tuple]:
         kinds = {"long": int, "double": float, "string": str}
         casts = [kinds.get({"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString()), lambda x: x) for f in self.fields]
-        with _open(self.path) as db:
+        with closing(_open(self.path)) as db:
             names = ", ".join(_quoted(f.name) for f in self.fields)
             for row in db.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (part.low, part.high)):
                 yield tuple(None if v is None else cast(v) for v, cast in zip(row, casts, strict=True))
@@ -113,44 +114,95 @@ def effective_cutoff(tables: Iterable[dict]) -> str | None:
     return min((t["max_date"] for t in tables if t["max_date"] and _DAY.fullmatch(t["max_date"])), default=None)
 
 
+def backup(source: str, target: str) -> None:
+    """A consistent copy of a database that may be written to meanwhile, sealed and checked."""
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with closing(_open(source)) as live, closing(sqlite3.connect(target)) as copy:
+        live.backup(copy)
+        copy.execute("PRAGMA journal_mode=DELETE")
+        copy.commit()
+        if (found := copy.execute("PRAGMA integrity_check").fetchone()[0]) != "ok":
+            raise SnapshotError(f"{source}: {found}")
+
+
+def _sealed_table(spark: SparkSession, database: str, source: Source, name: str, column: str | None, staging: str) -> dict:
+    """Copy one table of a database's copy to Parquet and describe it."""
+    with closing(_open(database)) as db:
+        rows = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
+    df = read_sqlite(spark, database, name)
+    target = os.path.join(staging, source.name, name)
+    df.write.parquet(target)
+    back = spark.read.schema(df.schema).parquet(target)
+    got = back.agg(F.count("*").alias("n"), *(f(column).cast("string").alias(k) for k, f in (("min", F.min), ("max", F.max)) if column)).first().asDict()
+    if got["n"] != rows:
+        raise SnapshotError(f"{source.name}.{name}: {got['n']} of {rows} rows after the copy")
+    files = {f: hash_file(os.path.join(target, f)) for f in sorted(os.listdir(target)) if f.endswith(".parquet")}
+    sizes = {f: os.path.getsize(os.path.join(target, f)) for f in files}
+    return {"name": name, "rows": rows, "date_column": column, "min_date": got.get("min"), "max_date": got.get("max"), "content": _content_id(back), "files": files, "bytes": sizes}
+
+
 def bridge(spark: SparkSession, sources: Iterable[Source], root: str, keep: int = 2, created_at: str = "") -> dict:
     """Copy the allowed tables into a new snapshot and return its manifest; the same content gives the same snapshot.
 
-    Tables are written to a staging folder, read back and compared, and the folder is renamed once whole.
-    What fails is removed from staging; old snapshots beyond `keep` go.
+    Each database is backed up first, so all of its tables are of one moment. Tables are written to a staging
+    folder, read back and compared; the folder is VALIDATING until it is whole, and then renamed. What fails
+    is removed from staging; old snapshots beyond `keep` go.
     """
     staging = os.path.join(root, f".staging-{uuid.uuid4().hex}")
+    copies = f"{staging}-copies"
     try:
         datasets = []
         for source in sources:
-            tables = []
-            for name, column in source.tables:
-                df = read_sqlite(spark, source.path, name)
-                target = os.path.join(staging, source.name, name)
-                df.write.parquet(target)
-                back = spark.read.schema(df.schema).parquet(target)
-                if back.count() != df.count():
-                    raise SnapshotError(f"{source.name}.{name}: rows differ after the copy")
-                ends = back.agg(F.min(column).cast("string"), F.max(column).cast("string")).first() if column else (None, None)
-                files = {f: hash_file(os.path.join(target, f)) for f in sorted(os.listdir(target)) if f.endswith(".parquet")}
-                tables.append({"name": name, "rows": back.count(), "date_column": column, "min_date": ends[0], "max_date": ends[1], "content": _content_id(back), "files": files})
+            database = os.path.join(copies, f"{source.name}.db")
+            backup(source.path, database)
+            with closing(_open(database)) as db:
+                there = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
+            if absent := sorted({name for name, _ in source.tables} - there):
+                raise SnapshotError(f"{source.name}: no tables {absent}")
+            tables = [_sealed_table(spark, database, source, name, column, staging) for name, column in source.tables]
             datasets.append({"name": source.name, "tables": sorted(tables, key=lambda t: t["name"])})
         datasets.sort(key=lambda d: d["name"])
-        cutoff = effective_cutoff(t for d in datasets for t in d["tables"])
+        every = [t for d in datasets for t in d["tables"]]
+        cutoff = effective_cutoff(every)
         snapshot_id = canonical_id({"kind": "SNAPSHOT", "cutoff": cutoff, "datasets": [[d["name"], [[t["name"], t["content"]] for t in d["tables"]]] for d in datasets]})
-        manifest = {"snapshot_id": snapshot_id, "status": "READY", "created_at": created_at, "effective_cutoff": cutoff, "datasets": datasets}
+        totals = {"total_rows": sum(t["rows"] for t in every), "total_bytes": sum(sum(t["bytes"].values()) for t in every)}
+        manifest = {"snapshot_id": snapshot_id, "status": "VALIDATING", "created_at": created_at, "effective_cutoff": cutoff, "datasets": datasets} | totals
         final = os.path.join(root, snapshot_id)
         if os.path.isdir(final):
             return load_manifest(final)
-        with open(os.path.join(staging, "manifest.json"), "w") as f:
-            json.dump(manifest, f, sort_keys=True, indent=1)
+        _write_manifest(staging, manifest)
+        if found := [x for x in verify(staging) if x != "status VALIDATING"]:
+            raise SnapshotError("; ".join(found))
+        manifest["status"] = "READY"
+        _write_manifest(staging, manifest)
         os.rename(staging, final)
+        _sync(root)
         kept = sorted((e for e in os.scandir(root) if e.is_dir() and not e.name.startswith(".") and e.name != "quarantine"), key=lambda e: -e.stat().st_mtime)
         for old in kept[keep:]:
             shutil.rmtree(old.path)
         return manifest
     finally:
         shutil.rmtree(staging, ignore_errors=True)
+        shutil.rmtree(copies, ignore_errors=True)
+
+
+def _sync(path: str) -> None:
+    """Wait until a file or folder is on disk."""
+    at = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(at)
+    finally:
+        os.close(at)
+
+
+def _write_manifest(folder: str, manifest: dict) -> None:
+    """Replace a manifest as a whole."""
+    path = os.path.join(folder, "manifest.json")
+    with open(f"{path}.new", "w") as f:
+        json.dump(manifest, f, sort_keys=True, indent=1)
+    _sync(f"{path}.new")
+    os.replace(f"{path}.new", path)
+    _sync(folder)
 
 
 def load_manifest(folder: str) -> dict:
@@ -159,26 +211,30 @@ def load_manifest(folder: str) -> dict:
 
 
 def verify(folder: str) -> list[str]:
-    """What is wrong with a snapshot: its status, missing or changed files."""
+    """What is wrong with a snapshot: its status; missing, changed or additional files."""
     manifest, out = load_manifest(folder), []
     if manifest["status"] != "READY":
         out.append(f"status {manifest['status']}")
+    known = {"manifest.json"}
     for d in manifest["datasets"]:
         for t in d["tables"]:
+            known.add(os.path.join(d["name"], t["name"], "_SUCCESS"))
             for name, digest in t["files"].items():
                 path = os.path.join(folder, d["name"], t["name"], name)
+                known.add(os.path.join(d["name"], t["name"], name))
                 if not os.path.isfile(path):
                     out.append(f"missing {d['name']}.{t['name']}/{name}")
-                elif hash_file(path) != digest:
+                elif os.path.getsize(path) != t["bytes"][name] or hash_file(path) != digest:
                     out.append(f"changed {d['name']}.{t['name']}/{name}")
+    for at, _, names in os.walk(folder):
+        found = (os.path.relpath(os.path.join(at, name), folder) for name in sorted(names) if not name.endswith(".crc"))
+        out += [f"unknown {name}" for name in found if name not in known]
     return out
 
 
 def quarantine(folder: str, reason: str) -> str:
     """Mark a snapshot as bad and move it aside."""
-    manifest = load_manifest(folder) | {"status": "QUARANTINED", "reason": reason}
-    with open(os.path.join(folder, "manifest.json"), "w") as f:
-        json.dump(manifest, f, sort_keys=True, indent=1)
+    _write_manifest(folder, load_manifest(folder) | {"status": "QUARANTINED", "reason": reason})
     target = os.path.join(os.path.dirname(folder), "quarantine", os.path.basename(folder))
     os.makedirs(os.path.dirname(target), exist_ok=True)
     os.rename(folder, target)
