@@ -2,7 +2,9 @@
 
 Rows are only ever added. A row whose id is known with the same digest is a retry and changes nothing; with
 another digest it is an error, as are repeated unique keys and references to rows that are not there. One
-writer at a time holds the lock; every append takes the next numbers of one global sequence.
+writer at a time holds the lock; every append takes the next number of one global sequence. A row and its
+number are one file, which appears by rename, so an append is there or not. Files are named by number and
+content: a file that was changed, or that is gone, shows.
 """
 
 from __future__ import annotations
@@ -10,15 +12,22 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import re
 import time
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tapeline.canonical import canonical_id, canonical_json
+from tapeline.canonical import canonical_id, canonical_json, sha256_hex
+
+_ROW_FILE = re.compile(r"\d{12}-[0-9a-f]{64}\.parquet")
 
 # The ledger's tables and columns, their references and unique keys.
 PREFIX = "id string, ledger_seq long, recorded_at long, identity_payload string, result_digest string"
@@ -143,14 +152,36 @@ class Ledger:
         return StructType.fromDDL(APPENDS if table == "LedgerAppend" else f"{PREFIX}, {TABLES[table]}")
 
     def table(self, table: str) -> DataFrame:
-        """All rows of a table."""
+        """All rows of a table; LedgerAppend has the number of every row of all tables."""
+        if table == "LedgerAppend":
+            parts = [self.table(t).select(F.col("ledger_seq").alias("seq"), F.lit(t).alias("table_name"), F.col("id").alias("row_id"), "recorded_at") for t in TABLES if os.path.isdir(self._path(t))]
+            return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], self.schema(table)))
         schema = self.schema(table)
         if not os.path.isdir(self._path(table)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._path(table))
 
+    def _files(self) -> list[tuple[int, str, str]]:
+        """Number, table and name of every row's file."""
+        return sorted((int(name.split("-")[0]), t, name) for t in TABLES if os.path.isdir(self._path(t)) for name in os.listdir(self._path(t)) if _ROW_FILE.fullmatch(name))
+
     def max_seq(self) -> int:
-        return self.table("LedgerAppend").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        return max((seq for seq, _, _ in self._files()), default=0)
+
+    def _write(self, table: str, row: Mapping[str, Any]) -> None:
+        """Add a row's file: written aside, synced, and renamed."""
+        schema = to_arrow_schema(self.schema(table))
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_pylist([dict(row)], schema), sink)
+        data = sink.getvalue().to_pybytes()
+        folder = self._path(table)
+        os.makedirs(folder, exist_ok=True)
+        name = f"{row['ledger_seq']:012d}-{sha256_hex(data)}.parquet"
+        with open(os.path.join(folder, f".{name}"), "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        os.rename(os.path.join(folder, f".{name}"), os.path.join(folder, name))
 
     def identity(self, table: str, record: Mapping[str, Any]) -> dict[str, Any]:
         if table == "Publication":
@@ -185,21 +216,25 @@ class Ledger:
         seq, at = self.max_seq() + 1, int(time.time() * 1e6) if now is None else now
         values = {c: json.dumps(v, sort_keys=True) if isinstance(v := record.get(c), dict | list) else v for c in names}
         row = {"id": row_id, "ledger_seq": seq, "recorded_at": at, "identity_payload": canonical_json(identity), "result_digest": digest} | values
-        schema = self.schema(table)
-        self.spark.createDataFrame([tuple(row[c] for c in schema.names)], schema).coalesce(1).write.mode("append").parquet(self._path(table))
-        self.spark.createDataFrame([(seq, table, row_id, at)], self.schema("LedgerAppend")).coalesce(1).write.mode("append").parquet(self._path("LedgerAppend"))
+        self._write(table, row)
         return row_id
 
     def problems(self) -> list[str]:
-        """Unique keys, references and sequence numbers that don't hold."""
-        out = []
+        """Files and numbers that don't hold; where files do, also unique keys and references."""
+        out, files = [], self._files()
+        for _, table, name in files:
+            with open(os.path.join(self._path(table), name), "rb") as f:
+                if sha256_hex(f.read()) != name.split("-")[1].removesuffix(".parquet"):
+                    out.append(f"{table}: {name} was changed")
+        if [seq for seq, _, _ in files] != list(range(1, len(files) + 1)):
+            out.append("LedgerAppend: numbers are missing or repeated")
+        if out:
+            return out
         for table, keys in UNIQUE.items():
             if not unique_violations(self.table(table), keys).isEmpty():
                 out.append(f"{table}: repeated {keys}")
         for table, columns in REFERENCES.items():
             out += [f"{table}.{c}: dangling" for c, target in columns.items() if not dangling(self.table(table), c, self.table(target)).isEmpty()]
-        if not unique_violations(self.table("LedgerAppend"), ["seq"]).isEmpty():
-            out.append("LedgerAppend: repeated seq")
         return out
 
     def get(self, table: str, **equal: Any) -> list[dict[str, Any]]:
