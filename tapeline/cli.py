@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "verify":
         found = snap.verify(os.path.join(snapshots, args.snapshot))
     elif args.command == "preflight":
-        found = runs.preflight(config, snapshots, args.snapshot, args.mode == "scheduled")
+        found = runs.preflight(config, snapshots, args.snapshot, args.mode == "scheduled", output=out, ledger=ledger_root)
     else:
         found = None
     if found is not None:

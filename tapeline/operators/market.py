@@ -48,10 +48,10 @@ def decision_dates(index: DataFrame, days: int | None) -> DataFrame:
 
 
 def tail_gap(lasts: DataFrame, calendar: DataFrame) -> DataFrame:
-    """lasts (ticker, last) with tail_gap: sessions after the last bar; null before the calendar or where none follow a day off."""
+    """lasts (ticker, last, ...) with tail_gap: sessions after the last bar; null before the calendar or where none follow a day off."""
     days = calendar.agg(F.sort_array(F.collect_list("date")).alias("days"))  # one array, a date for each session
     joined = lasts.crossJoin(F.broadcast(days))
     later = F.size(F.filter("days", lambda d: d > F.col("last"))).cast("long")
     gap = F.when(F.col("last").isNull() | (F.size("days") == 0) | (F.col("last") < F.get("days", F.lit(0))), None)
     gap = gap.when(F.array_contains("days", F.col("last")), later).otherwise(F.when(later > 0, later))
-    return joined.select("ticker", "last", gap.alias("tail_gap"))
+    return joined.withColumn("tail_gap", gap).drop("days")

@@ -49,37 +49,66 @@ def survivors(tickers: DataFrame, survivors: DataFrame, close_only: DataFrame) -
     return tickers.join(known, "ticker", "left").join(prints, "ticker", "left")
 
 
+#: The panels whose rows a profile counts.
+MEMBERS = ("adjusted", "raw", "close_only")
+
+
+def flagged(panels: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all panels in one frame: in_adjusted, in_raw and in_close_only say where a row belongs."""
+    parts = [panels[k].withColumns({f"in_{m}": F.lit(m == k) for m in MEMBERS}) for k in MEMBERS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def profile(panels: dict[str, DataFrame], calendar: DataFrame, p: Params = Params()) -> DataFrame:
-    """The quality metrics of every ticker: grouped once for each panel, then joined to the universe."""
-    bars = panels["adjusted"]
-    adjusted = bars.groupBy("ticker").agg(
-        F.count("*").alias("n_adj"),
-        F.min("date").alias("first_adj"),
-        F.max("date").alias("last_adj"),
-        F.count_if(F.col("volume").isNull() | (F.col("volume") == 0)).alias("zero_vol"),
-        F.count_if(ohlc_violation(p)).alias("ohlc_viol"),
-        F.count_if(F.col("close") <= 0).alias("nonpos_close"),
+    """The quality metrics of every ticker, in one pass over the rows of all panels.
+
+    panels may bring "flagged" rows of their own, if its panels are parts of one table. A ticker's adjusted
+    bars come first and newest first in one window, which serves the stale tail and repeated dates.
+    """
+    rows = panels.get("flagged")
+    rows = flagged(panels) if rows is None else rows
+    rows = rows.join(F.broadcast(calendar.select("date", "session")), "date", "left")
+    newest = Window.partitionBy("ticker").orderBy(F.desc("in_adjusted"), F.desc("date"))
+    last = F.first("close").over(newest)
+    rows = rows.withColumns({
+        "changed": F.sum(F.when(F.col("close").eqNullSafe(last), 0).otherwise(1)).over(newest),
+        "again": F.col("date").eqNullSafe(F.lag("date").over(newest)),
+    })
+    adj, close = F.col("in_adjusted"), F.col("in_close_only")
+    date = F.col("date")
+    found = rows.groupBy("ticker").agg(
+        F.count_if(adj).alias("n_adj"),
+        F.count_if(F.col("in_raw")).alias("n_raw"),
+        F.count_if(close).alias("n_close"),
+        F.min(F.when(adj, date)).alias("first_adj"),
+        F.max(F.when(adj, date)).alias("last_adj"),
+        F.min(F.when(close, date)).alias("first_close"),
+        F.max(F.when(close, date)).alias("last_close"),
+        F.count_if(adj & (F.col("volume").isNull() | (F.col("volume") == 0))).alias("zero_vol"),
+        F.count_if(adj & ohlc_violation(p)).alias("ohlc_viol"),
+        F.count_if(adj & (F.col("close") <= 0)).alias("nonpos_close"),
+        F.count_if(adj & (F.col("changed") == 0)).alias("stale_tail"),
+        F.count_if(adj & ~F.col("again") & F.col("session").isNotNull()).alias("held"),
+        F.min_by("session", F.when(adj, date)).alias("a"),
+        F.max_by("session", F.when(adj, date)).alias("b"),
     )
-    raw = panels["raw"].groupBy("ticker").agg(F.count("*").alias("n_raw"))
-    closes = panels["close_only"].groupBy("ticker").agg(F.count("*").alias("n_close"), F.min("date").alias("first_close"), F.max("date").alias("last_close"))
-    out = universe(panels)
-    for part in (adjusted, raw, closes, missing_sessions(bars, calendar), stale_tail(bars)):
-        out = out.join(part, "ticker", "left")
-    have = F.coalesce("n_adj", F.lit(0)) > 0
+    known = panels["survivors"].select("ticker", F.lit(True).alias("known")).distinct()
+    out = found.join(known, "ticker", "full_outer").fillna(0, ["n_adj", "n_raw", "n_close"])
+    out = out.where((F.col("n_adj") > 0) | (F.col("n_close") > 0) | F.col("known"))
+    have = F.col("n_adj") > 0
+    span = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a") + 1)
     return out.select(
         "ticker",
-        F.coalesce("n_adj", F.lit(0)).alias("n_adj"),
-        F.coalesce("n_raw", F.lit(0)).alias("n_raw"),
-        F.when(have, F.lit(0)).otherwise(F.coalesce("n_close", F.lit(0))).cast("long").alias("n_close_only"),
+        "n_adj",
+        "n_raw",
+        F.when(have, F.lit(0)).otherwise(F.col("n_close")).cast("long").alias("n_close_only"),
         F.when(have, F.col("first_adj")).otherwise(F.col("first_close")).alias("first"),
         F.when(have, F.col("last_adj")).otherwise(F.col("last_close")).alias("last"),
         F.when(have, "ADJUSTED").otherwise("CLOSE_ONLY_DELISTED").alias("basis"),
-        "zero_vol",
-        "ohlc_viol",
-        "nonpos_close",
-        "span_sessions",
-        "missing_sessions",
-        "stale_tail",
+        *(F.when(have, F.col(c)).alias(c) for c in ("zero_vol", "ohlc_viol", "nonpos_close")),
+        span.alias("span_sessions"),
+        (span - F.col("held")).alias("missing_sessions"),
+        F.when(have, F.col("stale_tail")).alias("stale_tail"),
     )
 
 
@@ -101,9 +130,9 @@ def classify_quality(profiled: DataFrame, p: Params = Params()) -> DataFrame:
     return out.withColumn("status", F.when(F.size("reasons") > 0, "DATA_UNUSABLE").otherwise("PROFILE_OK"))
 
 
-def classify_freshness(profiled: DataFrame, gaps: DataFrame, p: Params = Params()) -> DataFrame:
-    """status and reasons by quality first, then by the sessions since the last bar."""
-    out = classify_quality(profiled, p).join(gaps.select("ticker", "tail_gap"), "ticker", "left")
+def classify_freshness(profiled: DataFrame, p: Params = Params()) -> DataFrame:
+    """status and reasons of profiled rows with tail_gap: by quality first, then by the sessions since the last bar."""
+    out = classify_quality(profiled, p)
     bad, gap = F.col("status") == "DATA_UNUSABLE", F.col("tail_gap")
     status = F.when(bad, "DATA_UNUSABLE").when(gap > p.stale_gap, "PROFILE_OK_STALE_TAIL").otherwise("PROFILE_OK_FRESH")
     reasons = (
@@ -128,7 +157,13 @@ def reason_counts(classified: DataFrame) -> DataFrame:
 
 
 def stale_list(classified: DataFrame) -> DataFrame:
-    """Stale tickers with the longest gap first (rank 1), ties by ticker; ranks are counted over stale tickers only."""
-    order = Window.orderBy(F.desc(F.coalesce("tail_gap", F.lit(0))), "ticker")
-    stale = classified.where("status = 'PROFILE_OK_STALE_TAIL'")
-    return stale.select("ticker", "tail_gap", F.row_number().over(order).cast("long").alias("place"))
+    """Stale tickers with the longest gap first (place 1), ties by ticker.
+
+    Gaps are counted first, a row for each; places are then counted among the tickers of one gap.
+    """
+    stale = classified.where("status = 'PROFILE_OK_STALE_TAIL'").select("ticker", "tail_gap", F.coalesce("tail_gap", F.lit(0)).alias("gap"))
+    sizes = stale.groupBy("gap").agg(F.count("*").alias("n"))
+    longer = Window.orderBy(F.desc("gap")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("gap", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("gap").orderBy("ticker"))
+    return stale.join(before, "gap").select("ticker", "tail_gap", place.cast("long").alias("place"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,25 +13,52 @@ from tapeline.functions import features as ft
 from tapeline.params import BUCKETS, Params
 
 
+def day_numbers(index: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every calendar day between the first and last marked date: index_no and decision_no (such dates so far), decides.
+
+    The windows and the broadcasts of this table hold one row for each calendar day.
+    """
+    marks = index.select("date", F.lit(1).alias("i"), F.lit(0).alias("d")).unionByName(decisions.select("date", F.lit(0).alias("i"), F.lit(1).alias("d")))
+    marks = marks.groupBy("date").agg(F.max("i").alias("i"), F.max("d").alias("d"))
+    days = marks.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    so_far = Window.orderBy("date")
+    filled = days.join(F.broadcast(marks), "date", "left").fillna(0, ["i", "d"])
+    return filled.select("date", F.sum("i").over(so_far).alias("index_no"), F.sum("d").over(so_far).alias("decision_no"), (F.col("d") == 1).alias("decides"))
+
+
 def dated_bars(bars: DataFrame, index: DataFrame, decisions: DataFrame, p: Params = Params()) -> DataFrame:
     """Features of every bar, with what the replay needs to know of decision dates around it.
 
     on_date: the bar is of a decision date; dec_no: bars of decision dates so far; gap: index dates after the
-    bar; missing: decision dates between it and the next bar; suspended: the first decision date without a
-    bar, among later bars, at which the ticker counts as suspended. The dates of the decisions and of the
-    index (a few thousand at most) travel as one broadcast row.
+    bar; missing: decision dates between it and the next bar; halts: those of them at which the ticker counts
+    as suspended; suspended: the first such date behind later bars. Dates are numbered, so that gaps are
+    differences; the decision dates (a row each) travel as one broadcast array of which bars take slices.
     """
-    days = decisions.agg(F.sort_array(F.collect_list("date")).alias("days"))
-    all_days = index.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("all_days"))
+    numbers = day_numbers(index, decisions)
+    ends = numbers.agg(F.min("date").alias("first_day"), F.max("index_no").alias("index_dates"), F.sort_array(F.collect_list(F.when(F.col("decides"), F.struct("date", "index_no")))).alias("days"))
+    out = ft.features(bars.where(~F.col("ticker").startswith("^")), p)
+    out = out.join(F.broadcast(numbers), "date", "left").crossJoin(F.broadcast(ends))
     w = ft.by_date()
-    out = ft.features(bars.where(~F.col("ticker").startswith("^")), p).crossJoin(F.broadcast(days)).crossJoin(F.broadcast(all_days))
-    out = out.withColumn("on_date", F.array_contains("days", F.col("date")))
-    out = out.withColumn("gap", F.size(F.filter("all_days", lambda d: d > F.col("date"))).cast("long"))
-    between = F.filter("days", lambda d: (d > F.col("date")) & (F.col("next_date").isNull() | (d < F.col("next_date"))))
-    out = out.withColumn("missing", between).drop("days", "all_days")
-    first = F.when((F.col("gap") >= p.max_hold) & (F.size("missing") > 0), F.get("missing", F.lit(0)))
-    out = out.withColumn("first_missing", first).withColumn("dec_no", F.sum(F.col("on_date").cast("int")).over(w).cast("long"))
-    return out.withColumn("suspended", F.first("first_missing", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    outside = lambda total: F.when(F.col("date") < F.col("first_day"), 0).otherwise(total)
+    known = F.coalesce("decision_no", outside(F.size("days")))
+    out = out.withColumns({
+        "on_date": F.coalesce("decides", F.lit(False)),
+        "gap": (F.col("index_dates") - F.coalesce("index_no", outside(F.col("index_dates")))).cast("long"),
+        "known": known.cast("int"),
+        "seen": F.coalesce("index_no", outside(F.col("index_dates"))),
+    })
+    before_next = F.coalesce(F.lead(F.col("known") - F.col("on_date").cast("int")).over(w), F.size("days"))
+    missed = F.when(before_next > F.col("known"), F.slice("days", F.col("known") + 1, before_next - F.col("known")))
+    out = out.withColumn("missed", F.coalesce(missed, F.slice("days", 1, 0))).withColumn("dec_no", F.sum(F.col("on_date").cast("int")).over(w).cast("long"))
+    if p.suspension_mode == "as_of":
+        halts = F.filter("missed", lambda d: d["index_no"] >= F.col("seen") + p.max_hold)
+    else:
+        halts = F.when(F.col("gap") >= p.max_hold, F.col("missed")).otherwise(F.slice("missed", 1, 0))
+    out = out.withColumns({"missing": F.col("missed.date"), "halts": halts["date"]})
+    out = out.withColumn("first_halt", F.get("halts", F.lit(0)))
+    later = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("suspended", F.last("first_halt", ignorenulls=True).over(later))
+    return out.drop("days", "first_day", "index_dates", "index_no", "decision_no", "decides", "known", "seen", "missed", "first_halt")
 
 
 def as_of(dated: DataFrame) -> DataFrame:
@@ -104,7 +132,7 @@ def bucket_average(daily: DataFrame, arm: str = "B0") -> DataFrame:
 
 
 def outcomes(signals: DataFrame, dated: DataFrame, p: Params = Params()) -> DataFrame:
-    """signals (ticker, date, entry, sl, tp1, dec_no, missing, gap, suspended, ...) with exit_date, exit, reason and bars_held.
+    """signals (ticker, date, entry, sl, tp1, dec_no, halts, suspended, ...) with exit_date, exit, reason and bars_held.
 
     The outcome does not depend on the book. A signal meets its next `max_hold` decision-date bars by number;
     a suspension is known from the bar itself. Open signals have nulls.
@@ -114,8 +142,7 @@ def outcomes(signals: DataFrame, dated: DataFrame, p: Params = Params()) -> Data
     met = keyed.join(bars, ["ticker", "no"], "left").withColumn("b_bars_held", F.col("no") - F.col("dec_no"))
     reason, price = ft.exit_event("b_", p)
     keys = [c for c in signals.columns]
-    own = F.get(F.filter("missing", lambda d: d > F.col("date")), F.lit(0))
-    halted = F.coalesce(F.when(F.col("gap") >= p.max_hold, own), F.col("suspended"))
+    halted = F.coalesce(F.get(F.filter("halts", lambda d: d > F.col("date")), F.lit(0)), F.col("suspended"))
     event = F.when(F.col("b_date").isNotNull() & reason.isNotNull(), F.struct(F.col("no"), F.col("b_date").alias("date"), price.alias("price"), reason.alias("reason"), F.col("b_bars_held").alias("held")))
     met = met.withColumn("halted", halted).withColumn("event", event)
     past = F.when(F.col("b_date") < F.col("halted"), F.struct(F.col("no"), F.col("b_close").alias("close"), F.col("b_bars_held").alias("held")))
@@ -130,33 +157,70 @@ def outcomes(signals: DataFrame, dated: DataFrame, p: Params = Params()) -> Data
     )
 
 
+def simulate(signals: DataFrame, dated: DataFrame, qty: Column, fee_profile: str = "PROD_FLAT", p: Params = Params()) -> DataFrame:
+    """Trades of single signals from fill to exit, apart from any book: qty, both fees, net and ret_pct; open ones have nulls."""
+    bought, sold = F.col("entry") * F.col("qty"), F.col("exit") * F.col("qty")
+    out = outcomes(signals.withColumn("qty", qty), dated, p)
+    out = out.withColumns({"fee_buy": F.when(F.col("exit").isNotNull(), ft.fee(bought, "buy", fee_profile, p)), "fee_sell": ft.fee(sold, "sell", fee_profile, p)})
+    out = out.withColumn("net", sold - bought - F.col("fee_buy") - F.col("fee_sell"))
+    ret = F.when(F.col("net").isNotNull(), F.coalesce(F.try_divide("net", bought) * 100, F.lit(0.0)))
+    return out.withColumns({"ret_pct": ret, "fee_profile": F.lit(fee_profile)})
+
+
 def net(entry: Column, exit_: Column, qty: Column, profile: str, p: Params = Params()) -> Column:
     """Profit of a closed trade after both fees."""
     bought, sold = entry * qty, exit_ * qty
     return sold - bought - ft.fee(bought, "buy", profile, p) - ft.fee(sold, "sell", profile, p)
 
 
-def trade_summary(trades: DataFrame) -> DataFrame:
-    """One row for each arm: closed trades, wins, returns, net and bars held; trades: arm, net, ret_pct, bars_held."""
-    upper = F.get(F.sort_array(F.collect_list("ret_pct")), (F.count("*") / 2).cast("int"))
-    return trades.groupBy("arm").agg(
+def trade_summary(trades: DataFrame, open_trades: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """One row for each arm: closed trades, wins, returns, net and bars held; trades: arm, net, ret_pct, bars_held.
+
+    open_trades (arm) adds n_open; days (arm, date, equity) adds final_equity, that of the last day. An arm that
+    stands in either of them has a row even without a closed trade.
+    """
+    out = trades.groupBy("arm").agg(
         F.count("*").alias("n_closed"),
         ft.rounded(F.count_if(F.col("net") > 0) / F.count("*") * 100, 2).alias("win_rate_pct"),
         ft.rounded(F.avg("ret_pct"), 4).alias("mean_ret_pct"),
-        ft.rounded(upper, 4).alias("median_ret_pct"),
         ft.rounded(F.sum("net"), 2).alias("total_net"),
         ft.rounded(F.avg("bars_held"), 2).alias("mean_bars_held"),
     )
+    out = out.join(upper_median(trades, "arm", "ret_pct", "median").select("arm", ft.rounded("median", 4).alias("median_ret_pct")), "arm", "left")
+    zeros = ["n_closed"]
+    if open_trades is not None:
+        out = out.join(open_trades.groupBy("arm").agg(F.count("*").alias("n_open")), "arm", "full_outer")
+        zeros.append("n_open")
+    if days is not None:
+        out = out.join(days.groupBy("arm").agg(F.max_by("equity", "date").alias("final_equity")), "arm", "full_outer")
+    return out.fillna(0, zeros)
+
+
+#: Relative rank error of the sketch that brackets a median.
+MEDIAN_ACCURACY = 10_000
 
 
 def upper_median(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """The middle value of each group, the upper one of two; ranks come from a distributed sort by group and value."""
-    w = Window.partitionBy(by)
-    ranked = rows.select(by, value).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2)).select(by, F.col(value).alias(name))
+    """The middle value of each group, the upper one of two; nulls don't count.
+
+    A quantile sketch brackets the middle, whatever is below the bracket is counted, and only the bracket's
+    distinct values (about 4 of MEDIAN_ACCURACY) are ranked, so no group is gathered or sorted whole.
+    """
+    rows = rows.select(by, value).where(F.col(value).isNotNull())
+    off = 2 / MEDIAN_ACCURACY
+    sketch = F.percentile_approx(value, [0.5 - off, 0.5 + off], MEDIAN_ACCURACY)
+    brackets = rows.groupBy(by).agg(sketch.alias("q"), F.count("*").alias("n")).select(by, "n", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    placed = rows.join(brackets, by).where(F.col(value) <= F.col("high"))
+    inside = F.when(F.col(value) >= F.col("low"), F.col(value))  # null: below the bracket
+    counts = placed.groupBy(by, inside.alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(by).orderBy(F.col("v").asc_nulls_first()))
+    middle = counts.withColumn("upto", upto).where((F.col("upto") > F.floor(F.col("n") / 2)) & F.col("v").isNotNull())
+    return middle.groupBy(by).agg(F.min("v").alias(name))
 
 
 BOOK_SCHEMA = "arm string, profile string, kind string, date date, ticker string, sig_date date, qty long, entry double, exit double, exit_reason string, bars_held long, net double, ret_pct double, equity double, n_open long"
+_KINDS = {"string": pa.string(), "date": pa.date32(), "long": pa.int64(), "double": pa.float64()}
+_BOOK = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in BOOK_SCHEMA.split(", "))])
 
 
 def book(qualified: DataFrame, marks: DataFrame, caps: DataFrame, decisions: DataFrame, profiles: tuple[str, ...] = ("PROD_FLAT",), p: Params = Params()) -> DataFrame:
@@ -166,29 +230,35 @@ def book(qualified: DataFrame, marks: DataFrame, caps: DataFrame, decisions: Dat
     carry their outcome and the closes to mark them with, enter this fold. Arms and profiles run in parallel.
     qualified: arm, date, ticker, score, entry, exit_date, exit, exit_reason, bars_held. marks: ticker, date, close.
     """
-    closes = marks.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("closes"))  # a close for each decision date
-    rows = qualified.select("arm", "date", "ticker", "score", "entry", "exit_date", "exit", "exit_reason", "bars_held").join(closes, "ticker")
+    day_caps = decisions.select("date").join(caps.select("date", "cap"), "date", "left")
+    # at most the caps so far are open or picked, so that many of a day's best rows are enough
+    room = day_caps.withColumn("room", F.sum("cap").over(Window.orderBy("date")))
+    best = Window.partitionBy("arm", "date").orderBy(F.desc("score"), "ticker")
+    rows = qualified.select("arm", "date", "ticker", "score", "entry", "exit_date", "exit", "exit_reason", "bars_held")
+    rows = rows.withColumn("rank", F.row_number().over(best)).join(F.broadcast(room.select("date", "room")), "date").where("rank <= room").drop("rank", "room")
+    held = marks.join(rows.select("ticker").distinct(), "ticker", "left_semi")
+    closes = held.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("closes"))  # a close for each decision date
+    rows = rows.join(closes, "ticker")
     held = F.filter("closes", lambda c: (c["date"] >= F.col("date")) & (F.col("exit_date").isNull() | (c["date"] < F.col("exit_date"))))
-    rows = rows.withColumn("held", held).drop("closes")
-    rows = rows.withColumns({"closes": F.transform("held", lambda c: c["close"]), "days": F.transform("held", lambda c: c["date"])}).drop("held")
-    calendar = decisions.select("date").join(caps.select("date", "cap"), "date", "left").agg(F.sort_array(F.collect_list(F.struct("date", "cap"))).alias("calendar"))
-    calendar = calendar.select(F.transform("calendar", lambda c: c["date"]).alias("dates"), F.transform("calendar", lambda c: c["cap"]).alias("caps"))
+    rows = rows.withColumn("closes", held)
+    calendar = day_caps.agg(F.sort_array(F.collect_list(F.struct("date", "cap"))).alias("calendar"))
     rows = rows.unionByName(rows.sparkSession.createDataFrame([(a[0],) for a in p.arms], "arm string"), allowMissingColumns=True)  # an arm without candidates has days too
     rows = rows.crossJoin(F.broadcast(calendar)).withColumn("profile", F.explode(F.array(*[F.lit(x) for x in profiles])))
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        arm, profile = key
-        dates, caps_by_day = list(pdf["dates"].iloc[0]), list(pdf["caps"].iloc[0])
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        arm, profile = (k.as_py() for k in key)
+        calendar = table.column("calendar")[0].as_py()
         by_day: dict = {}
-        for r in pdf[pdf["ticker"].notna()].sort_values(["date", "score", "ticker"], ascending=[True, False, True]).itertuples():
+        some = [SimpleNamespace(**r) for r in table.drop_columns(["calendar"]).to_pylist() if r["ticker"] is not None]
+        for r in sorted(some, key=lambda r: (r.date, -r.score, r.ticker)):
             by_day.setdefault(r.date, []).append(r)
         cash, positions, out = p.capital, {}, []
         row = lambda kind, day, **x: out.append({"arm": arm, "profile": profile, "kind": kind, "date": day} | x)
 
         def value(day) -> float:
-            return cash + sum(q * r.closes[max(0, sum(1 for d in r.days if d <= day) - 1)] for r, q in positions.values())
+            return cash + sum(q * r.closes[max(0, sum(1 for c in r.closes if c["date"] <= day) - 1)]["close"] for r, q in positions.values())
 
-        for day, cap in zip(dates, caps_by_day, strict=True):
+        for day, cap in ((c["date"], c["cap"]) for c in calendar):
             for ticker in [t for t, (r, _) in positions.items() if r.exit_date == day]:
                 r, qty = positions.pop(ticker)
                 bought, sold = r.entry * qty, r.exit * qty
@@ -207,13 +277,10 @@ def book(qualified: DataFrame, marks: DataFrame, caps: DataFrame, decisions: Dat
                     positions[r.ticker] = (r, qty)
             row("DAY", day, equity=round(value(day), 2), n_open=len(positions))
         for ticker, (r, qty) in positions.items():
-            row("OPEN", dates[-1], ticker=ticker, sig_date=r.date, qty=qty, entry=r.entry)
-        names = [x.split()[0] for x in BOOK_SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names).astype({"qty": "Int64", "bars_held": "Int64", "n_open": "Int64"})
-        dates = {c: frame[c].astype(object).where(frame[c].notna(), None) for c in ("date", "sig_date")}  # an all-missing column is no float
-        return frame.assign(**dates)
+            row("OPEN", calendar[-1]["date"], ticker=ticker, sig_date=r.date, qty=qty, entry=r.entry)
+        return pa.Table.from_pylist(out, _BOOK)
 
-    return rows.groupBy("arm", "profile").applyInPandas(fold, BOOK_SCHEMA)
+    return rows.groupBy("arm", "profile").applyInArrow(fold, BOOK_SCHEMA)
 
 
 def _fee(notional: float, side: str, profile: str, p: Params) -> float:

@@ -21,6 +21,8 @@ class Params:
     target_multiple: float = 0.5
     far_target_multiple: float = 2.0
     max_hold: int = 10
+    # A ticker without a bar counts as suspended after max_hold sessions: of the whole index ("parity"), or up to the day ("as_of").
+    suspension_mode: str = "parity"
     max_positions: int = 3
     cash_share: float = 0.98
     lot: int = 100

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeline import ledger
 from tapeline.functions import features as ft
-from tapeline.operators import market, profile, replay
+from tapeline.operators import buckets, market, profile, replay
 from tapeline.params import FEE_PROFILES, FRESHNESS_STATUSES, PROFILE_STATUSES, Params
 from tapeline.sources import bars as src
 from tapeline.sources import stats
@@ -118,8 +118,7 @@ FRESH = replace(LINES, stale_gap=1, missing_share=0.75)
 
 
 def _fresh(spark: SparkSession, sf: str) -> DataFrame:
-    found = _profiled(spark, sf)
-    return profile.classify_freshness(found, market.tail_gap(found.select("ticker", "last"), _calendar(spark, sf)), FRESH)
+    return profile.classify_freshness(market.tail_gap(_profiled(spark, sf), _calendar(spark, sf)), FRESH)
 
 
 def classify_v3(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,6 +215,32 @@ def bucket_invariant(spark: SparkSession, sf: str) -> DataFrame:
     return assigned.groupBy("arm", "date").agg(F.count("*").alias("tickers"), (F.count_if(known) == F.count("*")).alias("invariant_ok"))
 
 
+def terminal_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as candidates of the bucket rules, so that every rule has cases."""
+    key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey",
+        (key % 11 != 0).alias("data_ok"),
+        (cust % 40).alias("n_bars"),
+        (key % 7 != 0).alias("feature_ok"),
+        (cust % 13 != 0).alias("scored"),
+        (key % 3 != 0).alias("gates_passed"),
+        (cust % 100).alias("score"),
+        (key % 4).alias("volume_pts"),
+        (F.floor(price) % 60).cast("double").alias("r20"),
+        (cust % 5 == 0).alias("overlap_open"),
+        (key % 2 == 0).alias("selected"),
+    )
+    return buckets.terminal_bucket(orders).select("o_orderkey", "bucket", "primary_reason", F.array_join("reasons", "|").alias("reasons"))
+
+
+def simulated_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Every signal as a trade of two lots under the exact fees."""
+    signals, dated = _signals(spark, sf)
+    trades = replay.simulate(signals, dated, F.lit(200), "AJAIB_EXACT", EVENTS).where("exit_date is not null")
+    return _rounded(trades.select("ticker", "date", "exit_date", "bars_held", "fee_buy", "fee_sell", "net", "ret_pct"), "net", "ret_pct")
+
+
 def topn_by_cap(spark: SparkSession, sf: str) -> DataFrame:
     return _assigned(spark, sf).where("bucket = 'SELECTED'").select("arm", "date", "rank", "ticker", "score", "cap")
 
@@ -229,7 +254,7 @@ def _signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     bars, index, dates, _ = _events(spark, sf)
     dated = replay.dated_bars(bars, index, dates, EVENTS)
     scored = dated.withColumns(ft.score() | ft.levels(EVENTS)).where("entry is not null and score >= 40")
-    return scored.select("ticker", "date", "entry", "sl", "tp1", "dec_no", "missing", "gap", "suspended"), dated
+    return scored.select("ticker", "date", "entry", "sl", "tp1", "dec_no", "halts", "suspended"), dated
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,9 +290,10 @@ def position_size(spark: SparkSession, sf: str) -> DataFrame:
 def _closed(spark: SparkSession, sf: str, qty: int = 100) -> DataFrame:
     """Closed outcomes of both arms' candidates at one lot each, with net and return under the flat profile."""
     bars, index, dates, _ = _events(spark, sf)
+    dated = replay.dated_bars(bars, index, dates, EVENTS)
     found = replay.candidates(bars, index, dates, EVENTS).where("entry is not null and score >= 40 and (not fresh or bar_date = date)")
-    signals = found.select("arm", "ticker", "date", "entry", "sl", "tp1", "dec_no", "missing", "gap", "suspended")
-    out = replay.outcomes(signals, replay.dated_bars(bars, index, dates, EVENTS), EVENTS).where("exit_date is not null")
+    signals = found.select("arm", "ticker", "date", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
+    out = replay.outcomes(signals, dated, EVENTS).where("exit_date is not null")
     gain = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "PROD_FLAT", EVENTS)
     exact = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "AJAIB_EXACT", EVENTS)
     return out.withColumns({"net": ft.rounded(gain, 6), "net_exact": ft.rounded(exact, 6), "ret_pct": ft.rounded(gain / (F.col("entry") * qty) * 100, 6)})
@@ -340,7 +366,7 @@ def _book(spark: SparkSession, sf: str) -> DataFrame:
     bars, index, dates, caps = _events(spark, sf)
     found = replay.candidates(bars, index, dates, EVENTS).where("bucket = 'QUALIFIED'")
     dated = replay.dated_bars(bars, index, dates, EVENTS)
-    signals = found.select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "missing", "gap", "suspended")
+    signals = found.select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     return replay.book(replay.outcomes(signals, dated, EVENTS), replay.as_of(dated).select("ticker", "date", "close"), caps, dates, FEE_PROFILES, EVENTS)
 
 
@@ -349,8 +375,9 @@ def replay_book(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e0_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Summary of the booked trades of each arm under the flat profile."""
-    return replay.trade_summary(_book(spark, sf).where("kind = 'TRADE' and profile = 'PROD_FLAT'"))
+    """Summary of the booked trades of each arm under the flat profile, with open positions and the last equity."""
+    booked = _book(spark, sf).where("profile = 'PROD_FLAT'")
+    return replay.trade_summary(*(booked.where(F.col("kind") == kind) for kind in ("TRADE", "OPEN", "DAY")))
 
 
 QUERIES: dict[str, Query] = {
@@ -360,7 +387,7 @@ QUERIES: dict[str, Query] = {
         trading_calendar, profile_metrics, ohlc_violations, stale_tail, missing_sessions, survivorship_left_join, classify_v2,
         funnel_v2, unusable_reasons, tail_gap, classify_v3, funnel_v3, stale_list_sorted, momentum_r5_r20, volume_ratio,
         price_vs_ma20, score_core, atr_levels, avg_value_20d, regime_ma200, decision_dates, asof_last_bar, signal_gates,
-        bucket_daily, bucket_avg, bucket_assign_reasons, bucket_invariant, topn_by_cap, b0_b1_candidate_delta, exit_events,
+        terminal_buckets, simulated_trades, bucket_daily, bucket_avg, bucket_assign_reasons, bucket_invariant, topn_by_cap, b0_b1_candidate_delta, exit_events,
         trade_outcomes, suspended_exits, fees_both_profiles, position_size, trade_summary, upper_median, exit_reason_counts,
         fee_sensitivity, trades_only_b0, trades_common, mark_equity, canonical_sha, ledger_seq, ledger_unique_violations,
         ledger_dangling, latest_in_group, replay_book, e0_report,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import platform
+import sys
 import time
 from collections.abc import Callable
 from typing import Any
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeline import config as cfg
 from tapeline import report
-from tapeline.canonical import canonical_id, canonical_json, decision_micros, sha256_hex
+from tapeline.canonical import canonical_json, decision_micros, environment_hash, sha256_hex
 from tapeline.ledger import Ledger
 from tapeline.operators import market, profile, replay
 from tapeline.params import FRESHNESS_STATUSES, PROFILE_STATUSES, Params
@@ -25,11 +26,25 @@ INDEX = "^IHSG"
 SECOND = 1_000_000
 
 
-def preflight(config: dict, root: str, snapshot_id: str | None = None, scheduled: bool = False) -> list[str]:
-    """Everything that stands against a run."""
+def preflight(config: dict, root: str, snapshot_id: str | None = None, scheduled: bool = False, *, output: str | None = None, ledger: str | None = None, python: tuple[int, int] | None = None) -> list[str]:
+    """Everything that stands against a run.
+
+    python: the version that a run is pinned to. output must be there, the ledger's folder writable, and the
+    snapshots must not be (a superuser may write anywhere, so that is not held against one).
+    """
     out = cfg.problems(config)
+    if python and sys.version_info[:2] != python:
+        out.append(f"python is {sys.version_info[0]}.{sys.version_info[1]}, not {python[0]}.{python[1]}")
+    if output is not None and not os.path.isdir(output):
+        out.append(f"no folder {output}")
+    if ledger is not None:
+        os.makedirs(os.path.dirname(os.path.abspath(ledger)), exist_ok=True)
+        if not os.access(os.path.dirname(os.path.abspath(ledger)), os.W_OK):
+            out.append(f"{os.path.dirname(os.path.abspath(ledger))} is not writable")
     if not os.path.isdir(root):
         return [*out, f"no folder {root}"]
+    if os.geteuid() and os.access(root, os.W_OK) and output is not None:
+        out.append(f"{root} is writable")
     if snapshot_id:
         folder = os.path.join(root, snapshot_id)
         out += verify(folder) if os.path.isfile(os.path.join(folder, "manifest.json")) else [f"no snapshot {snapshot_id}"]
@@ -57,7 +72,7 @@ def profile_result(snapshot: Snapshot, fresh: bool, p: Params) -> tuple[dict[str
     calendar = market.trading_calendar(panels["adjusted"], p).cache()
     found = profile.profile(panels, calendar, p).cache()
     if fresh:
-        classified = profile.classify_freshness(found, market.tail_gap(found.select("ticker", "last"), calendar), p)
+        classified = profile.classify_freshness(market.tail_gap(found, calendar), p)
     else:
         classified = profile.classify_quality(found, p)
     funnel = _rows(profile.funnel(classified, FRESHNESS_STATUSES if fresh else PROFILE_STATUSES))
@@ -82,15 +97,15 @@ def replay_result(snapshot: Snapshot, days: int, fee_profile: str, p: Params) ->
     stocks = bars.where(~F.col("ticker").startswith("^"))
     found = replay.candidates(stocks, index, dates, p).cache()
     dated = replay.dated_bars(stocks, index, dates, p)
-    signals = found.where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "missing", "gap", "suspended")
+    signals = found.where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     booked = replay.book(replay.outcomes(signals, dated, p), replay.as_of(dated).select("ticker", "date", "close"), caps, dates, (fee_profile,), p).cache()
     trades = booked.where("kind = 'TRADE'")
-    summaries = _rows(replay.trade_summary(trades).orderBy("arm"))
+    summaries = _rows(replay.trade_summary(trades, booked.where("kind = 'OPEN'"), booked.where("kind = 'DAY'")).orderBy("arm"))
     reasons = _rows(trades.groupBy("arm", "exit_reason").agg(F.count("*").alias("trades")))
     delta = {r["side"]: r["n"] for r in _rows(replay.delta(trades.select("arm", "ticker", F.col("sig_date").alias("date"))).groupBy("side").agg(F.count("*").alias("n")))}
     buckets = _rows(replay.bucket_average(replay.bucket_daily(replay.top_by_cap(found, caps))))
     result = {"summaries": summaries, "exits": reasons, "delta": delta, "bucket_average": buckets, "decision_dates": dates.count(), "fee_profile": fee_profile}
-    counts = {f"trades_{s['arm']}": s["n_closed"] for s in summaries} | {f"open_{r['arm']}": r["n"] for r in _rows(booked.where("kind = 'OPEN'").groupBy("arm").agg(F.count("*").alias("n")))}
+    counts = {f"{name}_{s['arm']}": s[column] for name, column in (("trades", "n_closed"), ("open", "n_open")) for s in summaries}
     return result, report.replay(summaries, reasons, delta), counts
 
 
@@ -107,7 +122,7 @@ def publish(ledger: Ledger, snapshot: Snapshot, out_root: str, kind: str, sessio
     slot = ledger.append("DecisionSlot", {"experiment_id": experiment, "decision_at": at, "expected_by": at + 1800 * SECOND, "entry_decision_deadline": at + 3600 * SECOND, "freshness_deadline": fresh_until, "session_id": f"{session}-{cutoff}"})
     run_id = ledger.run_of(slot, input_id)
     if run_id is None:
-        environment = canonical_id([platform.python_version(), kind])
+        environment = environment_hash(platform.python_version(), kind)
         run_id = ledger.append("Run", {"slot_id": slot, "generation": ledger.last_generation(slot) + 1, "config_id": spec_id, "universe_manifest_id": input_id, "input_manifest_id": input_id, "feature_spec_id": spec_id, "availability_mode": "OBSERVED", "ledger_cutoff_seq": 0, "evaluation_clock": "REPLAY", "price_asof": at, "decision_at": at, "git_commit": "", "environment_hash": environment, "seed": 0})
     known = ledger.publication_of(run_id)
     if known and not retry:

@@ -247,6 +247,19 @@ SQL: dict[str, str] = {
       x AS (SELECT ticker, date, {_REASON.format(**_BAR)} AS exit_reason, {_PRICE.format(**_BAR)} AS exit FROM b) SELECT ticker, date, exit_reason, round(exit, 4) AS exit FROM x WHERE exit_reason IS NOT NULL""",
     "trade_outcomes": f"WITH {OUTCOMES} SELECT ticker, sd AS date, round(entry, 4) AS entry, exit_date, round(exit, 4) AS exit, exit_reason, bars_held FROM out",
     "suspended_exits": f"WITH {OUTCOMES} SELECT ticker, sd AS date, exit_date, round(exit, 4) AS exit, bars_held FROM out WHERE exit_reason = 'TIME_EXIT_SUSPENDED'",
+    "simulated_trades": f"""WITH {OUTCOMES},
+f AS (SELECT ticker, sd AS date, exit_date, bars_held, entry * 200 AS bought, exit * 200 AS sold, floor(entry * 200 * 0.00151303 + 0.5) AS fee_buy, floor(exit * 200 * 0.00251303 + 0.5) AS fee_sell FROM out WHERE exit_date IS NOT NULL)
+SELECT ticker, date, exit_date, bars_held, fee_buy, fee_sell, floor((sold - bought - fee_buy - fee_sell) * 10000.0 + 0.5) / 10000.0 AS net,
+  floor((sold - bought - fee_buy - fee_sell) / bought * 100 * 10000.0 + 0.5) / 10000.0 AS ret_pct FROM f""",
+    "terminal_buckets": """WITH c AS (
+  SELECT o_orderkey, o_orderkey % 11 <> 0 AS data_ok, o_custkey % 40 AS n_bars, o_orderkey % 7 <> 0 AS feature_ok, o_custkey % 13 <> 0 AS scored, o_orderkey % 3 <> 0 AS gates_passed,
+    concat_ws('|', CASE WHEN o_custkey % 100 < 65 THEN 'BELOW_THRESHOLD' END, CASE WHEN o_orderkey % 4 <= 0 THEN 'VOLUME_GATE' END, CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 60 < 30 THEN 'R23_GATE' END) AS failed,
+    o_custkey % 5 = 0 AS overlap_open, o_orderkey % 2 = 0 AS selected FROM orders),
+b AS (
+  SELECT o_orderkey, CASE WHEN NOT data_ok THEN 'DATA_UNUSABLE|QA_V3_FAIL' WHEN n_bars < 20 THEN 'INELIGIBLE|INSUFFICIENT_HISTORY' WHEN NOT feature_ok THEN 'FEATURE_INVALID|FEATURE_FAIL'
+    WHEN NOT scored THEN 'FEATURE_INVALID|SCORE_COMPUTE_FAIL' WHEN NOT gates_passed THEN 'GATE_REJECTED|' || CASE WHEN failed = '' THEN 'GATE_FAIL' ELSE failed END
+    WHEN overlap_open THEN 'QUALIFIED_NOT_SELECTED|RISK_BLOCKED_OVERLAP' WHEN selected THEN 'SELECTED|CAP_TOP_N' ELSE 'QUALIFIED_NOT_SELECTED|CAP_BLOCKED' END AS x FROM c)
+SELECT o_orderkey, split_part(x, '|', 1) AS bucket, split_part(x, '|', 2) AS primary_reason, substr(x, strpos(x, '|') + 1) AS reasons FROM b""",
     "fees_both_profiles": "SELECT o_orderkey, round(o_totalprice * 0.002, 4) AS buy_prod_flat, floor(o_totalprice * 0.00151303 + 0.5) AS buy_ajaib_exact, round(o_totalprice * 0.002, 4) AS sell_prod_flat, floor(o_totalprice * 0.00251303 + 0.5) AS sell_ajaib_exact FROM orders",
     "position_size": "SELECT o_orderkey, CAST(CASE WHEN o_custkey % 40 > 0 THEN greatest(floor(least(o_totalprice / 3, o_totalprice * 0.3 * 0.98) / (o_custkey % 40) / 100), 0) * 100 ELSE 0 END AS BIGINT) AS qty FROM orders",
     "trade_summary": f"""WITH {CLOSED} SELECT arm, count(*) AS n_closed, round(count(*) FILTER (net > 0) / count(*) * 100, 2) AS win_rate_pct, round(avg(ret_pct), 4) AS mean_ret_pct,

@@ -51,13 +51,15 @@ def index_from(bars: DataFrame) -> DataFrame:
 def panels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """adjusted, raw, close_only and survivors, with bad data planted by supplier number and day.
 
-    Numbers ending in 5 are known as survivors only, those ending in 0 have closes only; every seventh has a
+    flagged holds the first three as parts of one derivation of the bars. Numbers ending in 5 are known as survivors only, those ending in 0 have closes only; every seventh has a
     high below its low on every tenth day of the year.
     """
     bars = from_lineitem(spark, sf_dir)
     number = F.col("ticker").cast("long")
     bad = (number % 7 == 0) & (F.dayofyear("date") % 10 == 0)
-    adjusted = bars.where(~(number % 10).isin(0, 5)).withColumn("high", F.when(bad, F.col("low") * 0.5).otherwise(F.col("high")))
+    high = F.when(bad, F.col("low") * 0.5).otherwise(F.col("high"))
+    adjusted = bars.where(~(number % 10).isin(0, 5)).withColumn("high", high)
+    member = {"in_adjusted": ~(number % 10).isin(0, 5), "in_raw": number % 10 != 5, "in_close_only": number % 10 == 0}
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     survivors = supplier.select(F.col("s_suppkey").cast("string").alias("ticker"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("exit_type"))
     survivors = survivors.where(F.col("ticker").cast("long") % 5 == 0)
@@ -66,4 +68,5 @@ def panels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "raw": bars.where(number % 10 != 5).select("ticker", "date"),
         "close_only": bars.where(number % 10 == 0).select("ticker", "date", "close"),
         "survivors": survivors,
+        "flagged": bars.withColumns({"high": high} | member),
     }
