@@ -77,7 +77,7 @@ def test_replay_equals_a_day_by_day_walk(spark, seed):
     p = Params(min_avg_value=1e6, threshold_score=40, r20_gate=-1000.0)
     dates, caps = market.decision_dates(index, 20), market.regime(index, p)
     found = replay.candidates(bars, index, dates, p).cache()
-    good = found.where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "missing", "gap", "suspended")
+    good = found.where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     dated = replay.dated_bars(bars, index, dates, p)
     booked = replay.book(replay.outcomes(good, dated, p), replay.as_of(dated).select("ticker", "date", "close"), caps, dates, ("PROD_FLAT",), p).collect()
     by = {(r[0], r[1]): r for r in rows}
@@ -128,7 +128,7 @@ def test_arm_without_candidates_has_days(spark):
     p = Params(min_avg_value=1e18)
     dates = market.decision_dates(index, 5)
     dated = replay.dated_bars(bars, index, dates, p)
-    none = replay.candidates(bars, index, dates, p).where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "missing", "gap", "suspended")
+    none = replay.candidates(bars, index, dates, p).where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     rows = replay.book(replay.outcomes(none, dated, p), replay.as_of(dated).select("ticker", "date", "close"), market.regime(index, p), dates, ("PROD_FLAT",), p).collect()
     assert {r.kind for r in rows} == {"DAY"} and len(rows) == 10
 
@@ -174,4 +174,4 @@ def test_canonical():
     assert canonical_json({"b": 1, "a": [2, "é"]}) == '{"a":[2,"é"],"b":1}'
     with pytest.raises(ValueError):
         canonical_json({"a": [float("nan")]})
-    assert iso_from_micros(micros_from_iso("2026-01-05T01:00:00Z")) == "2026-01-05T01:00:00Z"
+    assert iso_from_micros(micros_from_iso("2026-01-05T01:00:00Z")) == "2026-01-05T01:00:00+00:00"

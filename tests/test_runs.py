@@ -28,9 +28,15 @@ isolation:
   external_notifications: false
   order_execution: false
   auto_promotion: false
+  dedicated_worker_required: true
 storage:
   input_root: /a
+  output_root: /b
+  ledger: /c
+  input_mount_readonly: yes
 run:
+  single_writer: true
+  publish_complete_only: true
   packages: [a, 2]
 research:
   train_end: 2019-12-31
@@ -57,7 +63,7 @@ def test_config():
     c = cfg.parse(TEXT)
     assert c["project"] == "x" and c["research"]["train_end"] == "2019-12-31" and c["run"]["packages"] == ["a", 2] and c["execution"]["cash"] == 1.5
     assert c["bridge"]["sources"] == [{"name": "one", "tables": [{"name": "prices", "date_column": "date"}, {"name": "q: z", "date_column": None}]}]
-    assert cfg.problems(c) == [] and len(cfg.schedule_problems(c)) == 5
+    assert cfg.problems(c) == [] and len(cfg.schedule_problems(c)) == 4
     c["isolation"]["network_egress"] = True
     c["selection"]["p_min"] = 0.5
     assert len(cfg.problems(c)) == 2
