@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
 A page is read as a sequence of words and tags. Tags score negative; words score positive or, within menus,
-adverts and the like, slightly negative. All weights come from the labelled pages below: how often words and
+adverts and the like, slightly negative. All weights come from labelled pages (`html_labelled`): how often words and
 tags stand inside and outside of main text, and a logistic model over the names, classes, ids and roles of
 the elements around a word. A linear scan finds the contiguous region of the largest score; its words whose
 own score is positive are the text, so an advert amid an article is left out.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,49 +25,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm import common
+from tapeline.llm.html_labelled import PAGES
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
-#: Elements whose content is no page text at all.
-HIDDEN = frozenset("head script style noscript template svg math iframe object canvas textarea button select datalist audio video map title".split())
+#: Elements whose content is no page text at all: what describes the page, code, drawings, and controls of forms.
+HIDDEN = frozenset("head script style noscript template svg iframe textarea button select datalist title".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _MARK = re.compile(r"\bdata-main\b")
-_CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
-
-#: Labelled pages: elements marked data-main hold the main text, all else on the page is around it.
-LABELLED = (
-    """<html><head><title>A</title></head><body><header class="site-header"><a>Home</a> Our daily paper</header><nav class="menu"><ul><li><a>News</a></li><li><a>Sport</a></li></ul></nav>
-    <div class="ad">Buy cheap shoes today</div><article data-main><h1>Rain floods the valley</h1><p>Heavy rain fell over the valley on Monday and the river left its bed.</p><p>Nobody was hurt, said the mayor, though many roads stay closed.</p>
-    <ul><li>Roads are closed</li><li>Schools are open</li></ul></article><aside class="sidebar"><h3>Most read</h3><p>Ten ways to save money on food.</p></aside><footer>&copy; 2020 The paper. All rights reserved.</footer></body></html>""",
-    """<body><div id="header"><div class="logo">Cook book</div></div><div id="nav"><a>Soups</a> | <a>Cakes</a> | <a>About</a></div><div id="cookie-notice">We use cookies to make this site better. <a>Accept</a></div>
-    <div id="main"><div class="post-content" data-main><h2>Bread without effort</h2><p>Mix flour, water, salt and a little yeast in the evening.</p><blockquote>Patience does the work.</blockquote><p>In the morning fold the dough, let it rest and bake it hot.</p></div>
-    <div class="share social">Share this on every network</div><div id="comments"><h3>Comments</h3><div class="comment"><p>I tried it and it is very good bread.</p></div><form><label>Your name</label><input><button>Send</button></form></div></div>
-    <div id="sidebar" class="widget"><h4>Newsletter</h4><p>Sign up to get our letters.</p></div><div id="footer">Contact, terms and privacy</div></body>""",
-    """<body><div class="topbar navigation">Login Register Help</div><main><section class="article-body entry" data-main><h1>On old clocks</h1><p>A clock that stands still is right twice a day.</p><p>The one in our hall has stood since the winter of the great snow.</p></section>
-    <section class="related"><h2>Related stories</h2><a>On new clocks</a><a>On watches</a></section><div class="advert banner sponsored">Sponsored: sell your gold now</div></main><footer class="copyright">Printed by us</footer></body>""",
-    """<body><nav class="breadcrumb"><a>Home</a> / <a>Travel</a></nav><div class="alert notice popup">This site needs scripts.</div><article data-main><h1>Two days in the hills</h1><p>The first day we walked up through the woods until dusk.</p><table><tr><td>Miles</td><td>Twelve</td></tr></table>
-    <p>The second day we walked down again, slower than before.</p></article><div class="ads">Cheap flights here</div><section class="comments reader-comments"><p>Lovely walk, we did it last year.</p></section><form class="subscribe">Enter your mail address</form><footer>All texts are ours. <a>Imprint</a></footer></body>""",
-    """<body><article><header><h1 data-main>The last ferry</h1></header><p data-main>The last ferry left the island at nine in the evening.</p><div class="ad advert">Insure your boat with us today and save</div><p data-main>Those who missed it slept in the old school.</p>
-    <aside class="related">Read also: the first ferry of the year</aside><p data-main>In the morning the sea was calm again.</p><nav class="pager menu"><a>Next page</a></nav><form class="newsletter">Get our letters every week</form><div class="comments"><p>We were there too that night.</p></div><footer>Filed under islands</footer></article></body>""",
-    """<body><article><h2 data-main>A garden in spring</h2><div class="notice cookie banner">Our pages keep cookies on your machine</div><div data-main><p>Sow peas as soon as the soil is dry.</p><p>Beans wait until May.</p></div><div class="ads sponsored">Seeds at half the price</div><aside class="sidebar"><p>Our shop is open on Sunday.</p></aside>
-    <section class="comments"><div class="comment"><p>My peas never grow at all.</p></div></section><div class="share social">Tell your friends</div><form><p>Write a comment below</p></form><footer class="footer"><p>Written by the gardener</p></footer></article></body>""",
-)
-
+_CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
 
 def segments(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
     """Tags and runs of text in order: (text or "", tag name or "", features of the elements around, in data-main)."""
-    page = _CUT_TAG.sub("", page) if page.rfind("<") > page.rfind(">") else page
+    last = page.rfind(">") + 1  # no tag ends behind it
+    if "<!--" not in page[last:] and (unfinished := _CUT_TAG.search(page, last)):
+        page = page[: unfinished.start()]
     stack: list[tuple[str, frozenset[str], bool, bool]] = [("", frozenset(), False, False)]
+    standing: Counter[str] = Counter()  # open elements by name
     at, end = 0, len(page)
+    last = end if "<!--" in page else last
     while at < end:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at, last)
         stop = found.start() if found else end
         if stop > at and not stack[-1][2]:
             yield page[at:stop], "", stack[-1][1], stack[-1][3]
@@ -79,25 +65,29 @@ def segments(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
         if opens:
             if name == "p" or name in BLOCKS:
                 while stack[-1][0] == "p":
-                    stack.pop()
+                    standing[stack.pop()[0]] -= 1
             _, around, hidden, main = stack[-1]
             own = {name}
             for a, b, c in _NAMED.findall(rest):
                 own.update("." + x for x in _PART.findall((a or b or c).lower()))
             hidden, main = hidden or name in HIDDEN, main or bool(_MARK.search(rest))
+            if not own <= around:
+                around = around | own
             if not hidden:
-                yield "", name, around | own, main
+                yield "", name, around, main
             if name in RAW and not rest.endswith("/"):
                 close = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
                 at = page.find(">", close.start()) + 1 if close else end
                 at = at or end
-            elif name not in VOID and len(stack) < 512:
-                stack.append((name, around | own, hidden, main))
+            elif name not in VOID:
+                stack.append((name, around, hidden, main))
+                standing[name] += 1
         else:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                _, around, hidden, main = stack[depth]
-                del stack[depth:]
+            if standing[name]:
+                closed = ""
+                while closed != name:
+                    closed, around, hidden, main = stack.pop()
+                    standing[closed] -= 1
                 if not hidden:
                     yield "", name, around, main
             elif name == "p":
@@ -107,7 +97,7 @@ def segments(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
 class Weights:
     """Scores of words and tags, learned from labelled pages."""
 
-    def __init__(self, labelled: tuple[str, ...] = LABELLED, steps: int = 400, rate: float = 0.5, decay: float = 0.003):
+    def __init__(self, labelled: tuple[str, ...] = PAGES, steps: int = 1500, rate: float = 0.5, decay: float = 0.001):
         words, tags = [0.5, 0.5], [0.5, 0.5]  # outside, inside
         rows: list[tuple[frozenset[str], int, bool]] = []
         for page in labelled:
@@ -135,7 +125,7 @@ class Weights:
         score = self._known.get(around)
         if score is None:
             logit = self.bias + sum(self.around.get(f, 0.0) for f in around) + self.word
-            score = min(2.0, logit) if logit > 0 else max(-0.2, logit)
+            score = min(4.0, logit) if logit > 0 else max(-0.2, logit)
             if len(self._known) < 10_000:
                 self._known[around] = score
         return score
