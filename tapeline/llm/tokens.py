@@ -3,7 +3,8 @@
 Both vocabularies cut a text at white space before they merge pairs, so the ids of a text are those of
 its words in order. A worker keeps the ids of the words it has met (two generations of at most
 `GENERATION` words), which is what makes whole corpora affordable; words outside the simple Latin case go
-through the library's full path.
+through the library's full path, as do texts that hold the string of a special token, which stands for that
+token's id as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -58,7 +59,6 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -67,6 +67,7 @@ class WordEncoder:
         if not (self.byte_level or self.lowers):
             raise ValueError(f"{path}: neither byte-level nor lower-cased words")
         self.cut = (_BYTE_LEVEL if self.byte_level else _LOWER_CASED).findall
+        self.specials = [t["content"] for t in spec["added_tokens"]]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the library's own stand-ins for the bytes of Latin-1 characters
         self.stand_in = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (9, 10, *range(32, 127), *range(161, 256))}
@@ -77,12 +78,15 @@ class WordEncoder:
     def _merged(self, pre_token: str) -> bytes:
         return array("I", [t.id for t in self.merge(pre_token.translate(self.stand_in))]).tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
     def _encode(self, before: str, word: str) -> bytes:
         text = before + word
         if not text:
             return b""
         if max(text) > "\xff" or _CONTROL.search(text):
-            return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+            return self._whole(text)
         cut = self.cut(text.lower() if self.lowers else text)
         if len(cut) == 1:
             return self._merged(cut[0])
@@ -104,6 +108,8 @@ class WordEncoder:
         """The ids of a text as little-endian uint32."""
         if not text:
             return b""
+        if any(s in text for s in self.specials):
+            return self._whole(text)
         if self.byte_level and _SPACE_BEFORE_SPACE.search(text):
             words = _WORD_START.split(text)  # only a space before a word opens a new pre-token
         else:
