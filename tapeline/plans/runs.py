@@ -76,16 +76,20 @@ def profile_result(snapshot: Snapshot, fresh: bool, p: Params) -> tuple[dict[str
     else:
         classified = profile.classify_quality(found, p)
     funnel = _rows(profile.funnel(classified, FRESHNESS_STATUSES if fresh else PROFILE_STATUSES))
+    unusable = classified.where("status = 'DATA_UNUSABLE'").select("ticker", F.array_join("reasons", "+").alias("reasons"), "n_adj", "n_close_only", "n_raw")
+    days = calendar.agg(F.count("*").alias("sessions"), F.min("date").cast("string").alias("first"), F.max("date").cast("string").alias("last")).first().asDict()
     result = {
-        "universe": _rows(profile.universe_meta(panels)),
-        "sessions": calendar.count(),
+        "universe": _rows(profile.universe_meta(panels).orderBy("panel")),
+        "calendar": days,
         "funnel": funnel,
         "reasons": _rows(profile.reason_counts(classified).orderBy(F.desc("tickers"), "reason")),
+        "tables": [{"dataset": d["name"], "table": t["name"]} | {k: t[k] for k in ("rows", "min_date", "max_date")} for d in snapshot.manifest["datasets"] for t in d["tables"]],
+        "unusable": _rows(unusable.orderBy("ticker")),
         "stale": _rows(profile.stale_list(classified).orderBy("place")) if fresh else [],
     }
     counts = {r["status"]: r["tickers"] for r in funnel}
-    text = "# Coverage\n\n" + report.funnel(funnel) + "\n\n## Reasons\n\n" + report.table(result["reasons"], ("reason", "tickers")) + "\n"
-    return result, text, counts
+    known = {"snapshot": snapshot.manifest["snapshot_id"], "cut-off": snapshot.manifest["effective_cutoff"], "tickers": sum(counts.values()), "sessions": f"{days['sessions']}, {days['first']} to {days['last']}"}
+    return result, report.coverage(known, result), counts
 
 
 def replay_result(snapshot: Snapshot, days: int, fee_profile: str, p: Params) -> tuple[dict[str, Any], str, dict[str, int]]:
@@ -104,9 +108,13 @@ def replay_result(snapshot: Snapshot, days: int, fee_profile: str, p: Params) ->
     reasons = _rows(trades.groupBy("arm", "exit_reason").agg(F.count("*").alias("trades")))
     delta = {r["side"]: r["n"] for r in _rows(replay.delta(trades.select("arm", "ticker", F.col("sig_date").alias("date"))).groupBy("side").agg(F.count("*").alias("n")))}
     buckets = _rows(replay.bucket_average(replay.bucket_daily(replay.top_by_cap(found, caps))))
-    result = {"summaries": summaries, "exits": reasons, "delta": delta, "bucket_average": buckets, "decision_dates": dates.count(), "fee_profile": fee_profile}
+    net = {name: F.sum(replay.net(F.col("entry"), F.col("exit"), F.col("qty"), profile_, p)) for name, profile_ in (("net_flat", "PROD_FLAT"), ("net_exact", "AJAIB_EXACT"))}
+    fees = _rows(trades.groupBy("arm").agg(*(total.alias(name) for name, total in net.items())).withColumn("difference", F.col("net_exact") - F.col("net_flat")))
+    days_ = dates.agg(F.count("*").alias("n"), F.min("date").cast("string").alias("first"), F.max("date").cast("string").alias("last")).first()
+    result = {"summaries": summaries, "exits": reasons, "delta": delta, "bucket_average": buckets, "fees": fees, "decision_dates": days_.n, "fee_profile": fee_profile}
+    known = {"snapshot": snapshot.manifest["snapshot_id"], "cut-off": snapshot.manifest["effective_cutoff"], "decision dates": f"{days_.n}, {days_.first} to {days_.last}", "fees": fee_profile, "result": "simulation only"}
     counts = {f"{name}_{s['arm']}": s[column] for name, column in (("trades", "n_closed"), ("open", "n_open")) for s in summaries}
-    return result, report.replay(summaries, reasons, delta), counts
+    return result, report.replay(known, summaries, reasons, delta, fees, buckets), counts
 
 
 def publish(ledger: Ledger, snapshot: Snapshot, out_root: str, kind: str, session: str, compute: Callable[[], tuple[dict[str, Any], str, dict[str, int]]], spec: dict[str, Any], retry: bool = False) -> dict[str, Any]:

@@ -123,7 +123,11 @@ def test_runs(spark, sealed, tmp_path):
     assert got["status"] == "PUBLISHED" and got["run_id"] != fresh["run_id"]
     result = json.loads((tmp_path / "runs" / got["run_id"] / "result.json").read_text())
     assert result["decision_dates"] == 30 and {s["arm"] for s in result["summaries"]} == {"B0", "B1"}
-    assert "# Replay" in (tmp_path / "runs" / got["run_id"] / "report.md").read_text()
+    text = (tmp_path / "runs" / got["run_id"] / "report.md").read_text()
+    assert text.startswith("# Replay") and "| n_open |" in text and "| final_equity |" in text and "| GATE_REJECTED |" in text and f"cut-off: {manifest['effective_cutoff']}" in text
+    assert {f["arm"] for f in result["fees"]} <= {"B0", "B1"} and all(abs(f["net_exact"] - f["net_flat"] - f["difference"]) < 1e-6 for f in result["fees"])
+    coverage = (tmp_path / "runs" / fresh["run_id"] / "report.md").read_text()
+    assert "| AA | OHLC_VIOLATION |" in coverage and "| idx_ohlcv | prices |" in coverage and "## Stale tickers" in coverage and "- idx_survivorship: no dates" in coverage
     assert runs.preflight(cfg.parse(TEXT), root, manifest["snapshot_id"]) == [] and runs.preflight(cfg.parse(TEXT), root, "0" * 64)
 
 
