@@ -1,8 +1,9 @@
 """The corpus pipeline: language, near duplicates, repeated passages, contamination and packing, in this order.
 
 Every stage but the last returns the columns of documents. Documents without a known language go; of near
-duplicates the one with the smallest id stays; repeated passages are cut from texts (a character that is cut
-in two goes whole, and n_chars follows); contaminated documents go; what is left is packed into sequences.
+duplicates the one with the smallest id stays; passages of over 50 words that repeat are cut from texts (in whole words,
+and n_chars follows); contaminated documents go; what is left is
+packed into sequences. Rows without an id go at the first stage, as later stages could not tell them apart.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import common, decontaminate, language, ngram_join, query_tokens, suffix_dedup
+from tapeline.llm import common, decontaminate, language, ngram_join, query_dedup, query_tokens, suffix_dedup
 from tapeline.llm.query_text import held_out
 
 #: No SQL expresses the first stage; tests compare the others with brute force.
@@ -18,7 +19,8 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; null texts and texts without letters go."""
+    """Documents with a language; null texts, texts without letters and rows without an id go."""
+    docs = docs.where("doc_id is not null")
     model = language.train(language.sample(docs.where(~held_out())))
     named = language.identify(docs, model, lang_as="_lang", score_as="_score")
     return named.where(F.col("_lang") != language.UNKNOWN).drop("_lang", "_score")
@@ -31,11 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that repeat anywhere."""
-    cut = suffix_dedup.cut(docs, suffix_dedup.repeated_spans(docs))
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    some = F.size("spans") > 0
-    cut = cut.withColumn("text", F.when(some, whole).otherwise(F.col("text")))
+    """All documents, without the passages of over 50 words that repeat anywhere."""
+    spans = suffix_dedup.repeated_spans(docs, query_dedup.PASSAGE_BYTES)
+    rows = suffix_dedup.attach(docs, spans).withColumn("passages", suffix_dedup.passages(query_dedup.PASSAGE_WORDS))
+    some = F.size("passages") > 0
+    cut = rows.withColumn("text", F.when(some, suffix_dedup.remaining("passages").cast("string")).otherwise(F.col("text")))
     return cut.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
