@@ -1,20 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text is read as its runs of letters (ASCII letters, lower-cased, and all bytes beyond ASCII), cut after
-`SPAN` bytes; the network starts anew at each run, so a run's labels follow from its bytes alone and runs
-that occur often are labelled once per batch. Two gated recurrent layers read a run from both ends, and a
-softmax over both states labels every position with language probabilities. A document's probabilities are
-the geometric mean over its positions, normalised.
-
-Training is by backpropagation through time and Adam, on at most `SAMPLE` documents of each language and
-`SAMPLE_CHARS` characters of each; the same rows give the same model. Null texts and texts without a letter
-are `und` with score 0, and so is everything if there is nothing to learn from. Repeated rows and rows
-without an id each get a result; only text and, for training, lang and the held-out rule's column are read.
+A text is read as its bytes, with ASCII letters lower-cased and every run of other ASCII bytes as one space.
+Two gated recurrent layers read it from both ends, and a softmax over both states labels every position with
+language probabilities. Texts are read in windows of `WINDOW` bytes; the layers first read the `CONTEXT` bytes
+before and behind a window, so their states come from beyond it. A document's probabilities are the geometric
+mean over its positions, normalised.
+
+Training is by backpropagation through time and Adam on random windows of 8 to `TRAIN_WINDOW` bytes of at
+most `SAMPLE` documents of each language and `SAMPLE_CHARS` characters of each; the same rows give the same
+model. Null texts and texts without a letter are `und` with score 0, and so is everything if there is nothing
+to learn from. Repeated rows and rows without an id each get a result; only text and, for training, lang and
+the held-out rule's column are read.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,44 +25,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tapeline.llm import common
-from tapeline.llm.suffix_dedup import span_hashes
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of each language, characters of each document, languages.
 SAMPLE = 200
 SAMPLE_CHARS = 20_000
 MOST_LANGUAGES = 256
-HIDDEN = 16
-SPAN = 24
-STEPS = 500
-BATCH = 384
-#: Bytes of text labelled at a time.
-BATCH_BYTES = 8 << 20
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
-_LETTER = _ASCII_LETTER.copy()
-_LETTER[128:] = True
-
-
-def letter_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, size (SPAN at most) and document of every run of letters."""
-    letter = _LETTER[data]
-    begin, end = letter.copy(), letter.copy()
-    begin[1:] &= ~letter[:-1]
-    end[:-1] &= ~letter[1:]
+HIDDEN = 8
+WINDOW, CONTEXT, TRAIN_WINDOW = 256, 32, 96
+STEPS = 400
+BATCH = 192
+#: Bytes of text labelled at a time, and windows in one pass.
+BATCH_BYTES, ROWS = 1 << 20, 1024
+
+_SPACE = 32
+_CODE = np.full(256, _SPACE, np.uint8)
+_CODE[97:123] = _CODE[65:91] = np.arange(97, 123)
+_CODE[128:] = np.arange(128, 256)
+
+
+def codes_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of documents, their offsets, and for each byte the place of its code."""
+    codes = _CODE[data]
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
     inner = at[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    begin[inner] = letter[inner]
-    end[inner - 1] = letter[inner - 1]
-    first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    pieces = -(-(last - first) // SPAN)
-    index = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(first, pieces) + index * SPAN
-    size = np.minimum(np.repeat(last, pieces) - start, SPAN)
-    return start, size, np.searchsorted(at, start, "right") - 1
+    keep[inner[inner < len(codes)]] = True
+    upto = np.append(0, np.cumsum(keep))
+    return codes[keep], upto[at], upto[1:] - 1
+
+
+def windows(at: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all documents: document, first code and codes of the window, first code and codes with what is around it."""
+    size = np.diff(at)
+    n = -(-size // window)
+    doc = np.repeat(np.arange(len(size)), n)
+    first = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
+    count = np.minimum(window, at[doc + 1] - first)
+    begin, end = np.maximum(at[doc], first - context), np.minimum(at[doc + 1], first + count + context)
+    return doc, first, count, begin, end - begin
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -93,6 +94,33 @@ class Layer:
             out[t] = state
         return out
 
+    def read(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """What forward() gives, in place and without anything kept."""
+        n = self.h.shape[0]
+        given, gates_h, new_h = self.x + self.b, np.ascontiguousarray(self.h[:, : 2 * n]), np.ascontiguousarray(self.h[:, 2 * n :])
+        state = np.zeros((codes.shape[1], n), np.float32)
+        out = np.empty((*codes.shape, n), np.float32)
+        gates, new = np.empty((codes.shape[1], 2 * n), np.float32), np.empty_like(state)
+        whole = mask.all(axis=1)
+        for t in range(len(codes)):
+            x = given[codes[t]]
+            np.matmul(state, gates_h, out=gates)
+            gates += x[:, : 2 * n]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.matmul(gates[:, n:] * state, new_h, out=new)
+            new += x[:, 2 * n :]
+            np.tanh(new, out=new)
+            new -= state
+            new *= gates[:, :n]
+            if not whole[t]:
+                new *= mask[t][:, None]
+            state += new
+            out[t] = state
+        return out
+
     def backward(self, codes: np.ndarray, mask: np.ndarray, kept: list, grad: np.ndarray) -> list[np.ndarray]:
         """Gradients of x, h and b, given those of the states."""
         n = self.h.shape[0]
@@ -132,11 +160,11 @@ class Model:
         return scores - np.log(np.exp(scores).sum(axis=2, keepdims=True))
 
     def label(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Log-probabilities (time, row, language) of every position; mask is 0 behind a run's end."""
-        return self._log_probabilities(self.ahead.forward(codes, mask), self.back.forward(codes[::-1], mask[::-1])[::-1])
+        """Log-probabilities (time, row, language) of every position; mask is 0 behind a row's end."""
+        return self._log_probabilities(self.ahead.read(codes, mask), self.back.read(codes[::-1], mask[::-1])[::-1])
 
     def learn(self, codes: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Loss and gradients: every position is to have the language shares of its run."""
+        """Loss and gradients: every position is to have the language of its row."""
         kept_f: list = []
         kept_b: list = []
         f = self.ahead.forward(codes, mask, kept_f)
@@ -158,42 +186,34 @@ class Model:
 
 
 def _grid(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and mask (time, row) of runs."""
+    """Codes and mask (time, row) of windows."""
     step = np.arange(int(size.max()))[:, None]
     mask = (step < size).astype(np.float32)
     return data[np.minimum(start + step, len(data) - 1)], mask
 
 
-def train(texts: list[tuple[str, str]], *, hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 7) -> Model | None:
-    """A model from (text, language) pairs; None if they hold no letters."""
-    counts: dict[bytes, Counter] = defaultdict(Counter)
-    for text, language in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        start, size, _ = letter_runs(data, np.array([0, len(data)]))
-        raw = _LOWER[data].tobytes()
-        for a, n in zip(start.tolist(), size.tolist(), strict=True):
-            counts[raw[a : a + n]][language] += 1
-    if not counts:
+def train(texts: list[tuple[str, str]], *, hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 7) -> Model | None:
+    """A model from (text, language) pairs; None if they hold no letters. Languages count alike, and texts of one by their size."""
+    read = [(codes_of(raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)]))[0], language) for text, language in texts]
+    read = [(codes, language) for codes, language in read if (codes != _SPACE).any()]
+    if not read:
         return None
-    languages = sorted({language for _, language in texts})
-    total = Counter()
-    for c in counts.values():
-        total.update(c)
-    words = sorted(counts)
-    share = np.array([[counts[w][x] / max(1, total[x]) for x in languages] for w in words], np.float32)
-    weight = np.sqrt(np.array([sum(counts[w].values()) for w in words], float))
-    target = share / share.sum(axis=1, keepdims=True)
-    size = np.array([len(w) for w in words])
-    start = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(words), np.uint8)
+    languages = sorted({language for _, language in read})
+    of_text = np.array([languages.index(language) for _, language in read])
+    size = np.array([len(codes) for codes, _ in read])
+    begin = np.cumsum(size) - size
+    data = np.concatenate([codes for codes, _ in read])
+    share = size / np.bincount(of_text, size)[of_text]
     rng = np.random.default_rng(seed)
     model = Model(languages, Layer(rng, hidden), Layer(rng, hidden), (rng.standard_normal((2 * hidden, len(languages))) * 0.1).astype(np.float32), np.zeros(len(languages), np.float32))
     first = [np.zeros_like(p) for p in model.parameters()]
     second = [np.zeros_like(p) for p in model.parameters()]
     for step in range(1, steps + 1):
-        pick = rng.choice(len(words), min(batch, 4 * len(words)), p=weight / weight.sum())
-        codes, mask = _grid(data, start[pick], size[pick])
-        _, grads = model.learn(codes, mask, target[pick])
+        pick = rng.choice(len(read), batch, p=share / share.sum())
+        count = np.minimum(size[pick], rng.integers(8, TRAIN_WINDOW + 1, batch))
+        start = begin[pick] + (rng.random(batch) * (size[pick] - count + 1)).astype(np.int64)
+        codes, mask = _grid(data, start, count)
+        _, grads = model.learn(codes, mask, np.eye(len(languages), dtype=np.float32)[of_text[pick]])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, m, v in zip(model.parameters(), grads, first, second, strict=True):
@@ -204,42 +224,43 @@ def train(texts: list[tuple[str, str]], *, hidden: int = HIDDEN, steps: int = ST
     return model
 
 
+def _labelled(model: Model, codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Passes over windows of like size: their documents, first codes and codes, the log-probabilities of all positions read, and which of these are of the window."""
+    doc, first, count, begin, size = windows(at)
+    order = np.argsort(size, kind="stable")
+    for some in np.array_split(order, max(1, -(-len(order) // ROWS))):
+        if len(some):
+            grid, mask = _grid(codes, begin[some], size[some])
+            step = np.arange(len(grid))[:, None] + begin[some]
+            yield doc[some], first[some], count[some], model.label(grid, mask), (step >= first[some]) & (step < first[some] + count[some])
+
+
 def positions(model: Model, text: str) -> list[str]:
-    """The language of every byte of a text; bytes between runs take that of the run before them."""
+    """The language of every byte of a text."""
     data = np.frombuffer(text.encode(), np.uint8)
-    start, size, _ = letter_runs(data, np.array([0, len(data)]))
-    best = np.full(len(data), -1)
-    if len(start):
-        codes, mask = _grid(_LOWER[data], start, size)
-        best[common.lane_concat(start, size)] = model.label(codes, mask).argmax(axis=2).T[mask.T > 0]
-    out = []
-    for b in best.tolist():
-        out.append(model.languages[b] if b >= 0 else out[-1] if out else UNKNOWN)
-    return out
+    codes, at, place = codes_of(data, np.array([0, len(data)]))
+    best = np.zeros(len(codes), np.int64)
+    for _, first, count, logp, own in _labelled(model, codes, at):
+        best[common.lane_concat(first, count)] = logp.argmax(axis=2).T[own.T]
+    return [model.languages[b] for b in best[place].tolist()]
 
 
 def pool(model: Model | None, data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and score of every document."""
     docs = len(at) - 1
     languages, scores = [UNKNOWN] * docs, np.zeros(docs)
-    start, size, doc = letter_runs(data, at)
-    if model is None or not len(start):
+    codes, starts, _ = codes_of(data, at)
+    if model is None or not len(codes):
         return languages, scores
-    data = _LOWER[data]
-    _, lead, which = np.unique(span_hashes(data, start, size), return_index=True, return_inverse=True)
-    sums = np.empty((len(lead), len(model.languages)))
-    order = np.argsort(size[lead], kind="stable")
-    for some in np.array_split(order, max(1, len(order) // 4096)):
-        codes, mask = _grid(data, start[lead[some]], size[lead[some]])
-        sums[some] = (model.label(codes, mask) * mask[:, :, None]).sum(axis=0)
-    read = np.bincount(doc, size, docs)
-    pooled = np.stack([np.bincount(doc, sums[which, k], docs) for k in range(len(model.languages))], axis=1) / np.maximum(read, 1)[:, None]
+    sums = np.zeros((docs, len(model.languages)))
+    for doc, _, _, logp, own in _labelled(model, codes, starts):
+        np.add.at(sums, doc, np.einsum("trk,tr->rk", logp, own.astype(np.float32)))
+    pooled = sums / np.maximum(np.diff(starts), 1)[:, None]
     pooled = np.exp(pooled - pooled.max(axis=1, keepdims=True))
     pooled /= pooled.sum(axis=1, keepdims=True)
-    plain = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_ASCII_LETTER[data], out=plain[1:])
-    plain = plain[at[1:]] - plain[at[:-1]]
-    for d in np.flatnonzero(read > 0).tolist():
+    plain = np.append(0, np.cumsum((codes > 96) & (codes < 123)))
+    plain = plain[starts[1:]] - plain[starts[:-1]]
+    for d in np.flatnonzero(np.diff(at) > 0).tolist():
         # bytes beyond ASCII may be no letters
         if plain[d] or any(c.isalpha() for c in data[at[d] : at[d + 1]].tobytes().decode("utf-8", "ignore")):
             best = int(pooled[d].argmax())
@@ -275,4 +296,4 @@ def identify(documents: DataFrame, model: Model | None, *, text_col: str = "text
             languages, scores = pool(model, *common.utf8(batch.column(at_text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages), pa.array(scores)], [*batch.schema.names, lang_as, score_as])
 
-    return kept.mapInArrow(predict, StructType(list(kept.schema.fields)).add(lang_as, "string").add(score_as, "double"))
+    return kept.mapInArrow(common.tidy(predict), StructType(list(kept.schema.fields)).add(lang_as, "string").add(score_as, "double"))
