@@ -149,7 +149,7 @@ def _blocks(documents: DataFrame, words: int, bits: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _BLOCKS.types, strict=True)], schema=_BLOCKS)
 
-    return documents.mapInArrow(send, _BLOCKS_DDL)
+    return documents.mapInArrow(common.tidy(send), _BLOCKS_DDL)
 
 
 def _frequent(blocks: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "at", "bt")
-    return joined.mapInArrow(check, "a long, b long, shared long")
+    return joined.mapInArrow(common.tidy(check), "a long, b long, shared long")
 
 
 def _first_pairs(sets: DataFrame) -> DataFrame:
@@ -269,7 +269,8 @@ def _first_pairs(sets: DataFrame) -> DataFrame:
         F.max(F.struct("n", "node")).alias("large"),
         F.count("*").alias("many"),
     ).where("many > 1")
-    joined = few.join(best.select("token", F.array("centre.node", "first", "large.node").alias("others")), "token")
+    # staged, so that the join's shuffles are its own and a shingle of many sets can be split among tasks
+    joined = few.join(common.stage(best.select("token", F.array("centre.node", "first", "large.node").alias("others")), "first"), "token")
     pairs = joined.select(F.explode("others").alias("other"), "node").where("other <> node")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
@@ -354,7 +355,7 @@ def _other_pairs(sets: DataFrame, labels: DataFrame, percent: int, spanning: boo
 
     n = common.partitions(sets.sparkSession)
     cells = _cells(sets, labels).repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    return cells.mapInArrow(common.tidy(compare), "a long, b long").distinct()
 
 
 def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:

@@ -40,7 +40,9 @@ LENGTH = 400
 #: Contexts of one key that one shard takes.
 HOT = 256
 #: Bytes of contexts in one suffix array, as far as keys allow.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+#: Bytes of text read at a time; a pass holds about a hundred times as many.
+PASS_BYTES = 1 << 20
 #: Strings of split keys that a task reports at a time.
 REPORTED = 1 << 20
 _PLACE = 24
@@ -271,7 +273,7 @@ def _occurrences(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                 yield part, np.array([0, len(part)]), ids[i : i + 1], low - a, step if low + most - 1 < b else most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, most=PASS_BYTES):
             for data, at, ids, base, limit in parts(batch):
                 total = common.prefix_hashes(data)
                 first, n, mid, key = runs(data, at, short, _gram(short), total)
@@ -311,7 +313,7 @@ def _occurrences(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                     ["key", "ctx", "doc_id", "start", "n", "size", "mid", "times"],
                 )
 
-    return docs.mapInArrow(find, ddl)
+    return docs.mapInArrow(common.tidy(find), ddl)
 
 
 def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -321,7 +323,7 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("times", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int32()), ("mid", pa.int32()), ("content", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, most=PASS_BYTES):
             data, at = common.utf8(batch.column(0))
             lists = batch.column(1)
             some = dict(zip(fields, lists.flatten().flatten(), strict=True))
@@ -338,7 +340,7 @@ def _cut_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(some[c].take(rows) for c in schema.names[:-1]), content], schema=schema)
 
     joined = docs.join(asked.hint("shuffle_hash"), "doc_id").select("text", "asked")
-    return joined.mapInArrow(cut, "key long, ctx long, times long, part int, parts int, n int, mid int, content binary")
+    return joined.mapInArrow(common.tidy(cut), "key long, ctx long, times long, part int, parts int, n int, mid int, content binary")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -438,7 +440,7 @@ def _marks(contexts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
             yield _bucketed(np.concatenate(reported), 2 * n)
 
     dealt = contexts.repartition(n, "key", "part").sortWithinPartitions("key", "part", "ctx")
-    return dealt.mapInArrow(mark, "key long, ctx long, level int, runs array<int>, bucket int, block binary")
+    return dealt.mapInArrow(common.tidy(mark), "key long, ctx long, level int, runs array<int>, bucket int, block binary")
 
 
 def _across(reported: DataFrame) -> DataFrame:
@@ -464,7 +466,7 @@ def _across(reported: DataFrame) -> DataFrame:
 
     n = common.partitions(reported.sparkSession)
     dealt = reported.select("bucket", "block").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(merge, "key long, ctx long, level int, runs array<int>")
+    return dealt.mapInArrow(common.tidy(merge), "key long, ctx long, level int, runs array<int>")
 
 
 def _lengths(lists: pa.Array) -> np.ndarray:
@@ -541,7 +543,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, *, longer: int |
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     spans = "array<struct<first:int,n:int>>"
-    out = common.stage(by_doc.mapInArrow(join, "doc_id long, " + ", ".join(f"{n} {spans}" for n in names)), "spans")
+    out = common.stage(by_doc.mapInArrow(common.tidy(join), "doc_id long, " + ", ".join(f"{n} {spans}" for n in names)), "spans")
     common.sweep(since, out)
     common.free(docs.sparkSession)
     return out
