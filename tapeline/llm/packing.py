@@ -2,10 +2,12 @@
 
 Pieces of one length are interchangeable, so the rule works on the histogram of lengths: each piece goes
 where the sum of the squared numbers of open sequences per residual gap becomes smallest, longest pieces
-first. The histogram has at most `size` rows whatever the corpus. Beyond `PLAN_PIECES` pieces the plan is
-made for a `factor`-th of each length and repeated `factor` times; the remainders get a plan of their own.
-Pieces then take the slots of their length by rank; ranks are counted per salted part, so a length that
-holds most pieces is never gathered.
+first. The histogram has at most `size` rows whatever the corpus, and its counts are placed by their digits
+to the base `BASE`: a plan of the leading digits stands for a power of the base of equal packings. The
+pieces of its emptiest sequences (`CARRIED` at most) count `BASE`-fold in the next plan instead, and the last
+one, of single pieces, keeps all. A plan thus places a number of pieces that does not grow with the corpus,
+and there is one plan for each digit. Pieces then take the slots of their length by rank; ranks are counted per
+salted part, so a length that holds most pieces is never gathered.
 
 Null and empty texts are one piece, the end id. Documents longer than `size` are cut from the end, the
 first piece being the shorter. Repeated ids keep all their rows. Rows without an id are left out.
@@ -13,6 +15,7 @@ first piece being the shorter. Repeated ids keep all their rows. Rows without an
 
 from __future__ import annotations
 
+import collections
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import common, tokens
 
-#: Pieces that one plan places one by one; bounds the driver's work and the plan's rows.
-PLAN_PIECES = 1_000_000
+#: Base of the digits by which counts are placed.
+BASE = 16
+#: Pieces that a plan hands on to the next one, at most.
+CARRIED = 1024
 #: Parts of a length within which ranks are counted.
 PARTS = 256
-#: Plan rows up to which the plan is broadcast (24 bytes each).
-BROADCAST_ROWS = 200_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, end: int, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,7 +56,7 @@ def pieces(documents: DataFrame, tokenizer: str, end: int, size: int, *, id_col:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(common.tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(counts: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,18 +94,45 @@ def sum_of_squares(counts: dict[int, int], size: int) -> tuple[np.ndarray, np.nd
     return length, sequence, offset
 
 
-def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, int, int]:
-    """Slots as rows (part, length, slot, sequence, offset), the factor of part 0 and the sequences of each part 0 copy."""
-    factor = max(1, -(-sum(counts.values()) // PLAN_PIECES))
-    out, made = [], 0
-    for part, some in enumerate(({l: c // factor for l, c in counts.items()}, {l: c % factor for l, c in counts.items()})):
+def _kept(length: np.ndarray, sequence: np.ndarray, size: int, carried: int) -> np.ndarray:
+    """Whether each sequence stays as it is: full ones do, and the emptiest others, up to so many pieces, don't."""
+    filled, pieces = np.bincount(sequence, length), np.bincount(sequence)
+    emptiest = np.argsort(filled, kind="stable")
+    kept = np.ones(len(filled), bool)
+    kept[emptiest[np.cumsum(pieces[emptiest]) <= carried]] = False
+    return kept | (filled == size)
+
+
+def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int]]]]:
+    """Slots as rows (level, length, slot, sequence, offset), and for each length (first rank, level, copies) in ascending order.
+
+    The slots of a level stand for `copies` pieces each. Sequence numbers of a level's copies follow one
+    another: those of copy c begin at sequence * copies + c.
+    """
+    levels = 1
+    while BASE**levels <= max(counts.values(), default=0):
+        levels += 1
+    carried: dict[int, int] = {}
+    slots, ranks = [np.empty((0, 5), np.int64)], {l: [] for l in counts}
+    given, made = dict.fromkeys(counts, 0), 0
+    for level in reversed(range(levels)):
+        copies = BASE**level
+        some = {l: c // copies % BASE + BASE * carried.get(l, 0) for l, c in counts.items()}
         length, sequence, offset = sum_of_squares({l: c for l, c in some.items() if c}, size)
+        whole = _kept(length, sequence, size, CARRIED if level else 0)
+        number = np.cumsum(whole) - 1
+        kept = whole[sequence]
+        carried = collections.Counter(length[~kept].tolist())
+        length, sequence, offset = length[kept], number[sequence[kept]], offset[kept]
         order = np.argsort(length, kind="stable")
         length, sequence, offset = length[order], sequence[order], offset[order]
         slot = np.arange(len(length)) - np.searchsorted(length, length)
-        out.append(np.stack([np.full(len(length), part), length, slot, sequence, offset], axis=1))
-        made = int(sequence.max()) + 1 if part == 0 and len(length) else made
-    return np.concatenate(out), factor, made
+        slots.append(np.stack([np.full(len(length), level), length, slot, made + sequence * copies, offset], axis=1))
+        made += int(whole.sum()) * copies
+        for l, n in zip(*(x.tolist() for x in np.unique(length, return_counts=True)), strict=True):
+            ranks[l].append((given[l], level, copies))
+            given[l] += n * copies
+    return np.concatenate(slots), ranks
 
 
 def pack(cut: DataFrame, size: int) -> DataFrame:
@@ -110,30 +140,25 @@ def pack(cut: DataFrame, size: int) -> DataFrame:
     spark = cut.sparkSession
     full = cut.where(F.col("length") == size).withColumn("offset", F.lit(0).cast("long"))
     rest = cut.where(F.col("length") < size).withColumn("part_no", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)))
-    by_part = rest.groupBy("length", "part_no").agg(F.count("*").alias("n"))
-    table = by_part.toPandas()  # at most size * PARTS rows
-    table = table.sort_values(["length", "part_no"])
-    table["before"] = table.groupby("length")["n"].cumsum() - table["n"]
-    counts = {int(l): int(c) for l, c in table.groupby("length")["n"].sum().items()}
-    slots, factor, made = plan(counts, size)
-    base = {l: c // factor for l, c in counts.items()}
-    rows = spark.createDataFrame(table[["length", "part_no", "before"]].astype("int64").assign(base=[base[int(l)] for l in table["length"]]), "length long, part_no long, before long, base long")
-
+    found = rest.groupBy("length", "part_no").agg(F.count("*").alias("n")).toPandas()  # at most size * PARTS rows
+    sizes = {int(l): np.zeros(PARTS, np.int64) for l in sorted(set(found["length"]))}
+    for l, part, n in found[["length", "part_no", "n"]].itertuples(index=False):
+        sizes[l][part] = n
+    slots, ranks = plan({l: int(n.sum()) for l, n in sizes.items()}, size)
+    # a row for each length: the pieces before each part, and where its levels begin
+    steps = [(l, (np.cumsum(n) - n).tolist(), [{"first": first, "level": level, "copies": copies} for first, level, copies in ranks[l]]) for l, n in sizes.items()]
+    steps = spark.createDataFrame(steps, "length long, before array<long>, steps array<struct<first:long,level:long,copies:long>>")
+    table = pa.Table.from_arrays([pa.array(np.ascontiguousarray(slots[:, k])) for k in range(5)], ["level", "length", "slot", "sequence", "offset"])
+
+    # both tables are bounded by size: a row for each length, and a plan's slots for each digit
     local = Window.partitionBy("length", "part_no").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = rest.join(F.broadcast(rows), ["length", "part_no"]).withColumn("rank", F.col("before") + F.row_number().over(local) - 1)
-    whole = F.col("base") * factor
-    ranked = ranked.select(
-        *cut.columns,
-        F.when(F.col("rank") < whole, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("part"),
-        F.when(F.col("rank") < whole, F.floor(F.col("rank") / factor)).otherwise(F.col("rank") - whole).cast("long").alias("slot"),
-        F.when(F.col("rank") < whole, F.col("rank") % factor).otherwise(F.lit(0)).cast("long").alias("copy"),
-    )
-    table = pa.Table.from_arrays([pa.array(slots[:, k]) for k in range(5)], ["part", "length", "slot", "sequence", "offset"])
-    slot_rows = spark.createDataFrame(table)
-    placed = ranked.join(F.broadcast(slot_rows) if len(slots) <= BROADCAST_ROWS else slot_rows, ["part", "length", "slot"])
-    # part 0: copy c of sequence s is s * factor + c; part 1 follows; whole sequences count down from -1
-    number = F.when(F.col("part") == 0, F.col("sequence") * factor + F.col("copy")).otherwise(F.lit(made * factor) + F.col("sequence"))
-    placed = placed.select(*cut.columns, number.alias("sequence_id"), "offset")
+    ranked = rest.withColumn("row", F.row_number().over(local)).join(F.broadcast(steps), "length")
+    ranked = ranked.withColumn("rank", F.get("before", F.col("part_no").cast("int")) + F.col("row") - 1)
+    step = F.element_at(F.filter("steps", lambda x: x["first"] <= F.col("rank")), -1)
+    ranked = ranked.withColumn("step", step).withColumn("at", F.col("rank") - F.col("step.first"))
+    ranked = ranked.select(*cut.columns, F.col("step.level").alias("level"), F.expr("at div step.copies").alias("slot"), (F.col("at") % F.col("step.copies")).alias("copy"))
+    placed = ranked.join(F.broadcast(spark.createDataFrame(table)), ["level", "length", "slot"])
+    placed = placed.select(*cut.columns, (F.col("sequence") + F.col("copy")).alias("sequence_id"), "offset")
     full = full.select(*cut.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), "offset")
     return placed.unionByName(full)
 
