@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,6 @@ SHORT = 256
 TINY = 8
 #: Entropy steps; precedence is a property of the step.
 STEPS = 1000
-SHARDS_A_PARTITION = 4
 
 _BITS = FILTER_BYTES * 8
 #: c * log2(c) for counts within a window.
@@ -166,22 +166,23 @@ def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     the next one.
     """
     docs = common.rows_in(documents, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spark = docs.sparkSession
-    n = common.partitions(spark)
-    starts = ranges.bounds(docs, "doc_id", F.octet_length("text") + 64, n * SHARDS_A_PARTITION)
-    dealt = docs.withColumn("shard", ranges.shard_of(starts)("doc_id"))
-    heads = sorted(dealt.groupBy("shard").agg(F.min("doc_id").alias("head")).collect())  # a row for each shard
-    shards, firsts = [r[0] for r in heads], [r[1] for r in heads]
-    before = F.create_map(*[F.lit(x) for i in range(len(heads)) for x in (shards[i], shards[i - 1])]) if heads else F.lit(None)
-    if heads:
-        is_head = F.col("doc_id").isin(firsts)
-        own = F.struct(F.col("shard"), F.lit(0).alias("tail"))
-        extra = F.struct(F.element_at(before, F.col("shard")).alias("shard"), F.lit(1).alias("tail"))
-        copies = F.explode(F.when(is_head, F.array(own, extra)).otherwise(F.array(own))).alias("to")
-        dealt = dealt.select("doc_id", "text", copies).select("to.shard", "to.tail", "doc_id", "text")
-    else:
-        dealt = dealt.select("shard", F.lit(0).alias("tail"), "doc_id", "text")
-    dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "tail", "doc_id", "text")
+    starts = ranges.bounds(docs, "doc_id", F.octet_length("text") + 64)
+    shard = ranges.shard_of(starts)("doc_id")
+    heads = sorted(docs.groupBy(shard.alias("shard")).agg(F.min("doc_id").alias("head")).collect())  # a row for each shard
+    firsts = np.array([r["head"] for r in heads], np.int64)
+    before = np.array([heads[k - 1]["shard"] for k in range(len(heads))], np.int32)  # the first row also ends the last shard
+
+    @F.pandas_udf("int")
+    def also(ids: pd.Series) -> pd.Series:
+        """The shard that a first row ends, null for others."""
+        ids = ids.to_numpy(np.int64)
+        k = np.minimum(np.searchsorted(firsts, ids), len(firsts) - 1)
+        return pd.Series(before[k], dtype="Int32").where(firsts[k] == ids)
+
+    own, extra = F.struct("shard", F.lit(0).alias("tail")), F.struct(F.col("also").alias("shard"), F.lit(1).alias("tail"))
+    dealt = docs.withColumns({"shard": shard, "also": also("doc_id")})
+    dealt = dealt.select("doc_id", "text", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, extra))).alias("to"))
+    dealt = ranges.deal(dealt.select("to.shard", "to.tail", "doc_id", "text"), starts).sortWithinPartitions("shard", "tail", "doc_id", "text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the document before, which still waits for the next one

@@ -1,7 +1,8 @@
 """Token-ID output: documents as Simple-8b files in ascending id order, and their reader.
 
-A file holds the documents of one range of ids: a header, the documents' ids and offsets, the blocks'
-word offsets and the words. Files appear by rename and count once the manifest names them, so a lost
+Documents are dealt to shards of consecutive ids of about equal size, a task each; a shard rolls to its next
+file after `FILE_IDS` ids, so a task holds no more than a file and one document. A file has a header, the
+documents' ids and offsets, the blocks' word offsets and the words. Files appear by rename and count once the manifest names them, so a lost
 executor's half-written file is never read; a repeated task writes the same bytes again.
 
 Null and empty texts give the end id alone. Repeated ids keep all their rows, ordered by text. Rows
@@ -24,8 +25,8 @@ from tapeline.llm import common, files, ranges, simple8b, tokens
 
 MAGIC = b"TPLIDS01"
 _HEADER = struct.Struct("<8sQQQQI4x")
-#: Shards for each shuffle partition; several keep partitions even though shards are dealt by hash.
-SHARDS_A_PARTITION = 4
+#: Ids after which a shard begins its next file.
+FILE_IDS = 8 << 20
 
 
 def pack(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -51,34 +52,26 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def write(documents: DataFrame, folder: str, tokenizer: str, end: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write one file for each range of ids, then the manifest."""
     docs = common.rows_in(documents, id_col, text_col)
-    spark = docs.sparkSession
-    n = common.partitions(spark)
-    shards = n * SHARDS_A_PARTITION
-    starts = ranges.bounds(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, shards)
-    dealt = docs.withColumn("shard", ranges.shard_of(starts)("doc_id")).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    starts = ranges.bounds(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16)
+    dealt = ranges.deal(docs.withColumn("shard", ranges.shard_of(starts)("doc_id")), starts).sortWithinPartitions("shard", "doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.encoder(tokenizer)
-        pieces = (
-            (shard, part)
-            for batch in common.slices(batches)
-            for shard, part in _runs(batch)
-        )
+        pieces = (run for batch in common.slices(batches) for run in _runs(batch))
         for shard, parts in itertools.groupby(pieces, key=lambda x: x[0]):
-            doc_ids, lengths, ids = [], [], []
-            for _, part in parts:
-                got, at = words.encode_all(part.column("text").to_pylist(), end)
-                doc_ids.append(part.column("doc_id").to_numpy())
-                lengths.append(np.diff(at))
-                ids.append(got.astype(np.uint32))
-            ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(lengths))
-            out = files.Pending(folder, name := f"tokens-{shard:06d}.s8b")
-            out.write(pack(np.concatenate(doc_ids), ends, ids))
-            out.commit()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(ends)], "n_ids": [len(ids)], "n_bytes": [out.size]})
-
-    made = dealt.mapInArrow(encode, "shard long, name string, n_docs long, n_ids long, n_bytes long")
-    entries = sorted((r.asDict() for r in made.collect()), key=lambda r: r["shard"])  # a row for each file
+            part, held, size = 0, [], 0
+            for _, some in parts:
+                ids, at = words.encode_all(some.column("text").to_pylist(), end)
+                held.append((some.column("doc_id").to_numpy(), np.diff(at), ids.astype(np.uint32)))
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield _write_file(folder, shard, part, held)
+                    part, held, size = part + 1, [], 0
+            if held:
+                yield _write_file(folder, shard, part, held)
+
+    made = dealt.mapInArrow(encode, "shard long, part long, name string, n_docs long, n_ids long, n_bytes long")
+    entries = sorted((r.asDict() for r in made.collect()), key=lambda r: (r["shard"], r["part"]))  # a row for each file
     at = 0
     for entry in entries:
         entry["start"] = at
@@ -86,6 +79,15 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int, *, id_col
     files.write_manifest(folder, entries)
 
 
+def _write_file(folder: str, shard: int, part: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Write one file and describe it."""
+    doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    out = files.Pending(folder, name := f"tokens-{shard:06d}-{part:04d}.s8b")
+    out.write(pack(doc_ids, np.cumsum(lengths), ids))
+    out.commit()
+    return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "name": [name], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "n_bytes": [out.size]})
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Consecutive rows of one shard each."""
     shard = batch.column("shard").to_numpy()

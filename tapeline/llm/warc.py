@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are dealt to shards of consecutive ids and sorted, so the same rows give the same files however
+Records are dealt to shards of consecutive ids and about equal size, a task each, and sorted, so the same rows give the same files however
 often a task runs. A shard rolls to its next file once the compressed size passes `FILE_BYTES`. Every
 record is a gzip member of its own with regenerated headers: record ids and dates follow from the row,
 lengths and digests from the payload. Of payloads of at least `least` bytes that are equal, the record with
@@ -32,7 +32,6 @@ from tapeline.llm import common, files, ranges
 FILE_BYTES = 64 << 20
 #: Payloads shorter than this are always stored.
 LEAST_REVISIT = 1000
-SHARDS_A_PARTITION = 4
 LEVEL = 4
 DATE = "2000-01-01T00:00:00Z"
 
@@ -112,16 +111,14 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     """Write all pages as WARC files below folder, then the manifest."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.where("page_id is not null")
-    spark = rows.sparkSession
     long = rows.where(F.octet_length("payload") >= least).select("page_id", F.sha1("payload").alias("digest"))
     last = common.stage(long.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last"), "last")
     revisits = common.stage(long.join(last, "digest").where("page_id <> last").select("page_id", "digest", "last"), "revisits")
 
-    n = common.partitions(spark)
-    starts = ranges.bounds(rows, "page_id", F.octet_length("payload") + 64, n * SHARDS_A_PARTITION)
+    starts = ranges.bounds(rows, "page_id", F.octet_length("payload") + 64)
     both = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "last", F.lit(0).alias("kind"))
     both = both.unionByName(rows.select("*", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("last"), F.lit(1).alias("kind")))
-    dealt = both.withColumn("shard", ranges.shard_of(starts)("page_id")).repartition(n, "shard").sortWithinPartitions("shard", "page_id", "kind", "url")
+    dealt = ranges.deal(both.withColumn("shard", ranges.shard_of(starts)("page_id")), starts).sortWithinPartitions("shard", "page_id", "kind", "url")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = (row for batch in common.slices(batches, "payload") for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "digest", "last", "kind")), strict=True))
