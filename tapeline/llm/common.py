@@ -125,7 +125,6 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def give_back() -> None:
     """Return a worker's free memory to the system, which allocators otherwise keep for the worker's next task."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 1024
+#: Ids that are coded at a time, so that the arrays of a pass stay in a processor's cache.
+PASS = 256 * BLOCK
 #: Ids and bits of selectors 0..14, most ids first. Fixed values of the coding.
 COUNTS = np.array([240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -29,10 +31,19 @@ def _needs(values: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and, for each block and the end, the offset of its first word."""
+    words, starts, at = [np.empty(0, np.uint64)], [np.zeros(1, np.uint64)], np.uint64(0)
+    for first in range(0, len(ids), PASS):
+        some, offsets = _encode(ids[first : first + PASS])
+        words.append(some)
+        starts.append(offsets[1:] + at)
+        at += offsets[-1]
+    return np.concatenate(words), np.concatenate(starts)
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """encode() of one pass, a whole number of blocks but for the last."""
     n = len(ids)
     blocks = -(-n // BLOCK)
-    if not n:
-        return np.empty(0, np.uint64), np.zeros(1, np.uint64)
     pad = int(COUNTS[0])
     lanes = np.zeros((blocks, BLOCK + pad), np.uint64)  # zeros after a block end fit every selector
     rows = np.zeros(blocks * BLOCK, np.uint64)
@@ -95,9 +106,16 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """The n ids of consecutive blocks; `starts` are the blocks' word offsets and the end, as encode gives them."""
+    out = [np.empty(0, np.uint64)]
+    for first in range(0, len(starts) - 1, PASS // BLOCK):
+        some = starts[first : first + PASS // BLOCK + 1]
+        out.append(_decode(words[int(some[0]) : int(some[-1])], some - some[0], min(PASS, n - first * BLOCK)))
+    return np.concatenate(out)
+
+
+def _decode(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """decode() of one pass."""
     out = np.zeros(n, np.uint64)
-    if not n:
-        return out
     selector = (words & np.uint64(15)).astype(np.int64)
     raw = np.zeros(len(words), bool)
     for p in np.flatnonzero(selector == ESCAPE):

@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of one cache generation; two generations of about 200 bytes a word bound a worker's memory.
-GENERATION = 250_000
+GENERATION = 320_000
 
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
 _WORD_START = re.compile(r" (?=\S)")
@@ -76,16 +76,21 @@ class WordEncoder:
         self.marks: dict[str, bytes] = {}
 
     def _merged(self, pre_token: str) -> bytes:
-        return array("I", [t.id for t in self.merge(pre_token.translate(self.stand_in))]).tobytes()
+        return self._ids(pre_token.translate(self.stand_in))
+
+    def _ids(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.merge(symbols)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _encode(self, before: str, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one pre-token, whose letters stand for themselves
+            return self._ids((self.stand_in[32] if before else "") + (word.lower() if self.lowers else word))
         text = before + word
         if not text:
             return b""
-        if max(text) > "\xff" or _CONTROL.search(text):
+        if _CONTROL.search(text):
             return self._whole(text)
         cut = self.cut(text.lower() if self.lowers else text)
         if len(cut) == 1:
