@@ -29,15 +29,15 @@ _WORD_START = re.compile(r" (?=\S)")
 class _Words(dict):
     """word -> little-endian uint32 ids; old words fall out a generation at a time."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = GENERATION):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
-        if len(self) >= GENERATION:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[word] = ids
@@ -71,7 +71,8 @@ class WordEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the library's own stand-ins for the bytes of Latin-1 characters
         self.stand_in = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (9, 10, *range(32, 127), *range(161, 256))}
-        self.first = _Words(lambda w: self._encode("", w))
+        # one cache serves all words of a lower-casing tokenizer, and so may hold more
+        self.first = _Words(lambda w: self._encode("", w), GENERATION if self.byte_level else GENERATION * 3 // 2)
         self.rest = _Words(lambda w: self._encode(" ", w)) if self.byte_level else self.first
         self.marks: dict[str, bytes] = {}
 
