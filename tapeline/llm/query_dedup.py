@@ -1,9 +1,9 @@
-"""op2 and op9: near-duplicate documents and repeated byte strings, in the contract's columns."""
+"""op2, op9 and op11: near-duplicate documents and repeated byte strings, in the contract's columns."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import ngram_join, suffix_dedup
+from tapeline.llm import ngram_join, simhash, suffix_dedup
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,3 +32,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         suffix_dedup.removed("passages").alias("passage_bytes"),
         suffix_dedup.remaining("passages").cast("string").alias("text"),
     )
+
+
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
