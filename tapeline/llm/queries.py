@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from tapeline.llm import query_decontaminate, query_dedup, query_divergence, query_pages, query_text, query_tokens
+from tapeline.llm import query_compaction, query_decontaminate, query_dedup, query_divergence, query_pages, query_text, query_tokens
 
 QUERIES = {
     "op1_token_output": query_tokens.op1_token_output,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_suffix_dedup": query_dedup.op9_suffix_dedup,
     "op10_decontaminate": query_decontaminate.op10_decontaminate,
     "op11_simhash": query_dedup.op11_simhash,
+    "op12_compaction": query_compaction.op12_compaction,
     "op13_source_divergence": query_divergence.op13_source_divergence,
 }
 SQL = {
