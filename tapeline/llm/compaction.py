@@ -61,7 +61,8 @@ def write_files(table: DataFrame, path: str, columns: list[str], keys: tuple[Col
 def files_of(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """day, lot, piece, n_rows and path of every file; reads no column of the table."""
     names = spare(KEYS, columns)
-    rows = spark.read.parquet(path).select(*[F.col(n).cast("long").alias(k) for n, k in zip(names, KEYS, strict=True)], F.col("_metadata.file_path").alias("path"))
+    rows = spark.read.schema(", ".join(f"{n} long" for n in names)).parquet(path)
+    rows = rows.select(*[F.col(n).alias(k) for n, k in zip(names, KEYS, strict=True)], F.col("_metadata.file_path").alias("path"))
     return rows.groupBy(*KEYS, "path").agg(F.count("*").alias("n_rows"))
 
 
