@@ -7,8 +7,8 @@ before and behind a window, so their states come from beyond it. A document's pr
 mean over its positions, normalised.
 
 Training is by backpropagation through time and Adam on random windows of 8 to `TRAIN_WINDOW` bytes of at
-most `SAMPLE` documents of each language and `SAMPLE_CHARS` characters of each; the same rows give the same
-model. Null texts and texts without a letter are `und` with score 0, and so is everything if there is nothing
+most `SAMPLE` texts of each language and `SAMPLE_CHARS` characters of each; the same texts give the same
+model, however often and in whatever order they occur. Null texts and texts without a letter are `und` with score 0, and so is everything if there is nothing
 to learn from. Repeated rows and rows without an id each get a result; only text and, for training, lang and
 the held-out rule's column are read.
 """
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -268,19 +268,31 @@ def pool(model: Model | None, data: np.ndarray, at: np.ndarray) -> tuple[list[st
     return languages, scores
 
 
-def sample(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """The training sample: about SAMPLE documents of each language, the same for the same rows."""
+def sample(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """The training sample: the SAMPLE texts of each language with the smallest hashes, all if there are fewer.
+
+    A text counts once, however often it occurs, so the same texts give the same sample in any order and number.
+    Hashes far above the SAMPLE-th are cut beforehand by an estimate of how many texts there are; where the estimate
+    cut too much, the language is taken again with a higher bound.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = dict(rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect())
-    if len(counts) > MOST_LANGUAGES:
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+    texts = dict(rows.groupBy("lang").agg(F.approx_count_distinct("h")).limit(MOST_LANGUAGES + 1).collect())
+    if len(texts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return []
-    million = 1_000_000
-    part = F.coalesce(*[F.when(F.col(lang_col) == x, F.lit(min(million, 1 + SAMPLE * million // c))) for x, c in sorted(counts.items())])
-    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(million))
-    got = rows.where(place < part).select(place.alias("place"), lang_col, F.substring(text_col, 1, SAMPLE_CHARS)).limit(2 * SAMPLE * len(counts)).collect()
-    return [(text, language) for _, language, text in sorted(got)]
+    parts = {language: 4 * SAMPLE / max(1, n) for language, n in texts.items()}
+    smallest = Window.partitionBy("lang").orderBy("h")
+    out = []
+    while parts:
+        bound = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min((1 << 63) - 1, int(part * (1 << 64)) - (1 << 63)))) for x, part in sorted(parts.items())])
+        few = rows.where(F.col("h") <= bound).groupBy("lang", "h").agg(F.min("text").alias("text"))
+        got: dict[str, list] = {x: [] for x in parts}
+        for language, h, text in few.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= SAMPLE).select("lang", "h", "text").collect():
+            got[language].append((h, text))
+        done = [x for x in parts if len(got[x]) == SAMPLE or parts[x] >= 1]
+        out += [(x, h, text) for x in done for h, text in got[x]]
+        parts = {x: 16 * part for x, part in parts.items() if x not in done}
+    return [(text, language) for language, _, text in sorted(out)]
 
 
 def identify(documents: DataFrame, model: Model | None, *, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
