@@ -8,7 +8,7 @@ packed into sequences. Rows without an id go at the first stage, as later stages
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm import common, decontaminate, language, ngram_join, query_dedup, query_tokens, suffix_dedup
@@ -18,12 +18,22 @@ from tapeline.llm.query_text import held_out
 ORACLE_SQL = None
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text and whole (the row), so that no column of the caller meets one of an operator."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from `whole`, but for the changed ones."""
+    return rows.select(*[changed.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null texts, texts without letters and rows without an id go."""
     docs = docs.where("doc_id is not null")
     model = language.train(language.sample(docs.where(~held_out())))
-    named = language.identify(docs, model, lang_as="_lang", score_as="_score")
-    return named.where(F.col("_lang") != language.UNKNOWN).drop("_lang", "_score")
+    named = language.identify(_narrow(docs), model)
+    return _restored(named.where(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of over 50 words that repeat anywhere."""
     spans = suffix_dedup.repeated_spans(docs, query_dedup.PASSAGE_BYTES)
-    rows = suffix_dedup.attach(docs, spans).withColumn("passages", suffix_dedup.passages(query_dedup.PASSAGE_WORDS))
+    rows = suffix_dedup.attach(_narrow(docs), spans).withColumn("passages", suffix_dedup.passages(query_dedup.PASSAGE_WORDS))
     some = F.size("passages") > 0
     cut = rows.withColumn("text", F.when(some, suffix_dedup.remaining("passages").cast("string")).otherwise(F.col("text")))
-    return cut.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(some, F.char_length("text").cast("long")).otherwise(F.col("whole").getField("n_chars"))
+    return _restored(cut, docs, text=F.col("text"), n_chars=n_chars)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
