@@ -48,10 +48,16 @@ def decision_dates(index: DataFrame, days: int | None) -> DataFrame:
 
 
 def tail_gap(lasts: DataFrame, calendar: DataFrame) -> DataFrame:
-    """lasts (ticker, last, ...) with tail_gap: sessions after the last bar; null before the calendar or where none follow a day off."""
-    days = calendar.agg(F.sort_array(F.collect_list("date")).alias("days"))  # one array, a date for each session
-    joined = lasts.crossJoin(F.broadcast(days))
-    later = F.size(F.filter("days", lambda d: d > F.col("last"))).cast("long")
-    gap = F.when(F.col("last").isNull() | (F.size("days") == 0) | (F.col("last") < F.get("days", F.lit(0))), None)
-    gap = gap.when(F.array_contains("days", F.col("last")), later).otherwise(F.when(later > 0, later))
-    return joined.withColumn("tail_gap", gap).drop("days")
+    """lasts (ticker, last, ...) with tail_gap: sessions after the last bar; null before the calendar or where none follow a day off.
+
+    Every day between the first and the last session gets the number of sessions up to it, so that a gap is one lookup
+    and a difference; windows and broadcasts hold a row for each calendar day.
+    """
+    sessions = calendar.select("date", F.lit(1).alias("one")).distinct()
+    ends = sessions.agg(F.min("date").alias("_first"), F.count("*").alias("_all"))
+    days = sessions.agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date")).join(F.broadcast(sessions), "date", "left")
+    numbered = days.select(F.col("date").alias("last"), F.col("one").isNotNull().alias("_on"), F.count("one").over(Window.orderBy("date")).alias("_upto"))
+    joined = lasts.join(F.broadcast(numbered), "last", "left").crossJoin(F.broadcast(ends))
+    later = F.when(F.col("last") >= F.col("_first"), F.col("_all") - F.coalesce("_upto", F.col("_all")))
+    gap = F.when(F.col("_on") | (later > 0), later)
+    return joined.withColumn("tail_gap", gap).select(*lasts.columns, "tail_gap")

@@ -42,11 +42,22 @@ def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     return ends.join(inside, "ticker", "left").select("ticker", span.alias("span_sessions"), (span - F.coalesce("held", F.lit(0))).alias("missing_sessions"))
 
 
+def flat_tails(close_only: DataFrame) -> DataFrame:
+    """ticker, last_real_print, flat_tail_bars and last_date of closes that may be carried forward at the end.
+
+    The last real print is the first bar of the run of equal closes that ends a ticker's bars; what follows it is flat.
+    """
+    newest = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    changed = F.sum(F.when(F.col("close").eqNullSafe(F.first("close").over(newest)), 0).otherwise(1)).over(newest)
+    tail = close_only.withColumn("changed", changed).where("changed = 0").groupBy("ticker")
+    return tail.agg(F.min("date").alias("last_real_print"), (F.count("*") - 1).alias("flat_tail_bars"), F.max("date").alias("last_date"))
+
+
 def survivors(tickers: DataFrame, survivors: DataFrame, close_only: DataFrame) -> DataFrame:
-    """tickers with exit_type ('' where unknown, null where no survivor) and the last printed close-only date."""
+    """tickers with exit_type ('' where unknown, null where no survivor), last_real_print and flat_tail_bars (null without closes)."""
     known = survivors.select("ticker", F.coalesce("exit_type", F.lit("")).alias("exit_type"))
-    prints = close_only.groupBy("ticker").agg(F.max("date").alias("last_real_print"))
-    return tickers.join(known, "ticker", "left").join(prints, "ticker", "left")
+    tails = flat_tails(close_only).drop("last_date")
+    return tickers.join(known, "ticker", "left").join(tails, "ticker", "left")
 
 
 #: The panels whose rows a profile counts.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import features as ft
+from tapeline.functions.exact import half_even
 from tapeline.params import BUCKETS, Params
 
 
@@ -128,7 +129,7 @@ def bucket_daily(assigned: DataFrame) -> DataFrame:
 def bucket_average(daily: DataFrame, arm: str = "B0") -> DataFrame:
     """Mean of each bucket over the dates of one arm."""
     long = daily.where(F.col("arm") == arm).unpivot(["date"], list(BUCKETS), "bucket", "tickers")
-    return long.groupBy("bucket").agg(ft.rounded(F.avg("tickers"), 1).alias("avg_tickers"))
+    return long.groupBy("bucket").agg(half_even(F.avg("tickers"), 1).alias("avg_tickers"))
 
 
 def outcomes(signals: DataFrame, dated: DataFrame, p: Params = Params()) -> DataFrame:
@@ -181,12 +182,12 @@ def trade_summary(trades: DataFrame, open_trades: DataFrame | None = None, days:
     """
     out = trades.groupBy("arm").agg(
         F.count("*").alias("n_closed"),
-        ft.rounded(F.count_if(F.col("net") > 0) / F.count("*") * 100, 2).alias("win_rate_pct"),
-        ft.rounded(F.avg("ret_pct"), 4).alias("mean_ret_pct"),
-        ft.rounded(F.sum("net"), 2).alias("total_net"),
-        ft.rounded(F.avg("bars_held"), 2).alias("mean_bars_held"),
+        half_even(F.count_if(F.col("net") > 0) / F.count("*") * 100, 2).alias("win_rate_pct"),
+        half_even(F.avg("ret_pct"), 4).alias("mean_ret_pct"),
+        half_even(F.sum("net"), 2).alias("total_net"),
+        half_even(F.avg("bars_held"), 2).alias("mean_bars_held"),
     )
-    out = out.join(upper_median(trades, "arm", "ret_pct", "median").select("arm", ft.rounded("median", 4).alias("median_ret_pct")), "arm", "left")
+    out = out.join(upper_median(trades, "arm", "ret_pct", "median").select("arm", half_even("median", 4).alias("median_ret_pct")), "arm", "left")
     zeros = ["n_closed"]
     if open_trades is not None:
         out = out.join(open_trades.groupBy("arm").agg(F.count("*").alias("n_open")), "arm", "full_outer")

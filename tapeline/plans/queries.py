@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline import ledger
+from tapeline.functions import exact
 from tapeline.functions import features as ft
 from tapeline.operators import buckets, market, profile, replay
 from tapeline.params import FEE_PROFILES, FRESHNESS_STATUSES, PROFILE_STATUSES, Params
@@ -90,7 +91,8 @@ def missing_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def survivorship_left_join(spark: SparkSession, sf: str) -> DataFrame:
     panels = src.panels(spark, sf)
-    return profile.survivors(profile.universe(panels), panels["survivors"], panels["close_only"])
+    coarse = panels["close_only"].withColumn("close", ft.rounded("close", -3))  # so that some closes repeat
+    return profile.survivors(profile.universe(panels), panels["survivors"], coarse)
 
 
 def _joined_reasons(df: DataFrame) -> DataFrame:
@@ -295,8 +297,8 @@ def _closed(spark: SparkSession, sf: str, qty: int = 100) -> DataFrame:
     signals = found.select("arm", "ticker", "date", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     out = replay.outcomes(signals, dated, EVENTS).where("exit_date is not null")
     gain = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "PROD_FLAT", EVENTS)
-    exact = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "AJAIB_EXACT", EVENTS)
-    return out.withColumns({"net": ft.rounded(gain, 6), "net_exact": ft.rounded(exact, 6), "ret_pct": ft.rounded(gain / (F.col("entry") * qty) * 100, 6)})
+    by_side = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "AJAIB_EXACT", EVENTS)
+    return out.withColumns({"net": ft.rounded(gain, 6), "net_exact": ft.rounded(by_side, 6), "ret_pct": ft.rounded(gain / (F.col("entry") * qty) * 100, 6)})
 
 
 def trade_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,7 +314,9 @@ def exit_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fee_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return _closed(spark, sf).groupBy("arm").agg(ft.rounded(F.sum("net"), 2).alias("total_net_flat"), ft.rounded(F.sum("net_exact"), 2).alias("total_net_exact"), ft.rounded(F.sum("net_exact") - F.sum("net"), 2).alias("fee_impact"))
+    return _closed(spark, sf).groupBy("arm").agg(
+        exact.half_even(F.sum("net"), 2).alias("total_net_flat"), exact.half_even(F.sum("net_exact"), 2).alias("total_net_exact"), exact.half_even(F.sum("net_exact") - F.sum("net"), 2).alias("fee_impact")
+    )
 
 
 def trades_only_b0(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,9 +335,17 @@ def mark_equity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def canonical_sha(spark: SparkSession, sf: str) -> DataFrame:
-    """Content ids of the bars: SHA-256 of a canonical JSON text of ticker and date."""
-    text = F.concat(F.lit('{"date":"'), F.col("date").cast("string"), F.lit('","ticker":"'), "ticker", F.lit('"}'))
-    return src.from_events(spark, sf).select("ticker", "date", F.sha2(text, 256).alias("id"))
+    """Content ids of the bars: SHA-256 of the canonical JSON of every column."""
+    bars = src.from_events(spark, sf)
+    return bars.select("ticker", "date", F.sha2(exact.canonical_row(bars.schema), 256).alias("id"))
+
+
+def half_even_rounding(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices of the line items after discount and tax, to cents, and quantities in eighths, to hundredths, ties to even."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    price, charge = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    rounded = [exact.half_even(x, n).alias(name) for x, n, name in ((price, 2, "price"), (charge, 4, "charge"), (F.col("l_quantity") / 8, 2, "eighths"), (-F.col("l_quantity") / 4, 1, "quarters"))]
+    return items.select("l_orderkey", "l_linenumber", *rounded)
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +401,7 @@ QUERIES: dict[str, Query] = {
         price_vs_ma20, score_core, atr_levels, avg_value_20d, regime_ma200, decision_dates, asof_last_bar, signal_gates,
         terminal_buckets, simulated_trades, bucket_daily, bucket_avg, bucket_assign_reasons, bucket_invariant, topn_by_cap, b0_b1_candidate_delta, exit_events,
         trade_outcomes, suspended_exits, fees_both_profiles, position_size, trade_summary, upper_median, exit_reason_counts,
-        fee_sensitivity, trades_only_b0, trades_common, mark_equity, canonical_sha, ledger_seq, ledger_unique_violations,
+        fee_sensitivity, trades_only_b0, trades_common, mark_equity, canonical_sha, half_even_rounding, ledger_seq, ledger_unique_violations,
         ledger_dangling, latest_in_group, replay_book, e0_report,
     )
 }

@@ -190,6 +190,11 @@ dl AS (SELECT ticker, date, CASE WHEN l AND r THEN 'common' WHEN l THEN 'only_B0
 
 
 
+def half_even(x: str, places: int) -> str:
+    """x rounded by its exact value, ties to even: the engine's own formatting does that."""
+    return f"CAST(format('{{:.{places}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 def _halves_up(sql: str) -> str:
     """round(x, n) spelled out as plain arithmetic, innermost first."""
     while (start := sql.rfind("round(")) >= 0:
@@ -218,7 +223,10 @@ SQL: dict[str, str] = {
     "stale_tail": f"""WITH {EV}, e AS (SELECT ticker, date, round(close, -2) AS close FROM ev), lc AS (SELECT ticker, arg_max(close, date) AS c FROM e GROUP BY 1)
       SELECT e.ticker, count(*) AS stale_tail FROM e JOIN lc USING (ticker) WHERE e.date > coalesce((SELECT max(x.date) FROM e x WHERE x.ticker = e.ticker AND x.close <> lc.c), DATE '0001-01-01') GROUP BY 1""",
     "missing_sessions": f"WITH {PROFILE} SELECT * FROM mis",
-    "survivorship_left_join": f"WITH {PANELS}, pr AS (SELECT ticker, max(date) AS last_real_print FROM clo GROUP BY 1) SELECT ticker, CASE WHEN sur.ticker IS NOT NULL THEN coalesce(exit_type, '') END AS exit_type, last_real_print FROM uni LEFT JOIN sur USING (ticker) LEFT JOIN pr USING (ticker)",
+    "survivorship_left_join": f"""WITH {PANELS}, cl AS (SELECT ticker, date, round(close, -3) AS close FROM clo), lc AS (SELECT ticker, arg_max(close, date) AS c FROM cl GROUP BY 1),
+      pr AS (SELECT ticker, min(date) AS last_real_print, count(*) - 1 AS flat_tail_bars FROM cl JOIN lc USING (ticker)
+        WHERE date > coalesce((SELECT max(x.date) FROM cl x WHERE x.ticker = cl.ticker AND x.close <> lc.c), DATE '0001-01-01') GROUP BY 1)
+      SELECT ticker, CASE WHEN sur.ticker IS NOT NULL THEN coalesce(exit_type, '') END AS exit_type, last_real_print, flat_tail_bars FROM uni LEFT JOIN sur USING (ticker) LEFT JOIN pr USING (ticker)""",
     "classify_v2": f"WITH {_classes(0.2)} SELECT ticker, status, array_to_string(reasons, '|') AS reasons FROM v2",
     "funnel_v2": f"WITH {_classes(0.2)} SELECT s AS status, count(ticker) AS tickers FROM (VALUES ('PROFILE_OK'), ('DATA_UNUSABLE')) x(s) LEFT JOIN v2 ON status = s GROUP BY 1",
     "unusable_reasons": f"WITH {_classes(0.2)} SELECT reason, count(*) AS tickers FROM (SELECT unnest(reasons) AS reason FROM v2) GROUP BY 1",
@@ -238,7 +246,7 @@ SQL: dict[str, str] = {
     "asof_last_bar": f"WITH {ASOF} SELECT ticker, d AS date, date AS bar_date, close, n_bars FROM ao",
     "signal_gates": f"WITH {CANDIDATES} SELECT arm, ticker, d AS date, date AS bar_date, score, round(r20, 4) AS r20, round(avg_value, 4) AS avg_value FROM cd WHERE bucket = 'QUALIFIED'",
     "bucket_daily": f"WITH {ASSIGNED} {DAILY}",
-    "bucket_avg": f"WITH {ASSIGNED}, dy AS ({DAILY}) " + " UNION ALL ".join(f"SELECT '{b}' AS bucket, round(avg(\"{b}\"), 1) AS avg_tickers FROM dy WHERE arm = 'B0'" for b in _BUCKETS),
+    "bucket_avg": f"WITH {ASSIGNED}, dy AS ({DAILY}) " + " UNION ALL ".join(f"SELECT '{b}' AS bucket, CAST(format('{{:.1f}}', avg(\"{b}\")) AS DOUBLE) AS avg_tickers FROM dy WHERE arm = 'B0'" for b in _BUCKETS),
     "bucket_assign_reasons": f"WITH {ASSIGNED} SELECT arm, ticker, d AS date, bucket, reasons[1] AS primary_reason, array_to_string(reasons, '|') AS reasons FROM asg",
     "bucket_invariant": f"WITH {ASSIGNED} SELECT arm, d AS date, count(*) AS tickers, true AS invariant_ok FROM asg GROUP BY 1, 2",
     "topn_by_cap": f"WITH {ASSIGNED} SELECT arm, d AS date, rank, ticker, score, 3 AS cap FROM asg WHERE bucket = 'SELECTED'",
@@ -262,15 +270,18 @@ b AS (
 SELECT o_orderkey, split_part(x, '|', 1) AS bucket, split_part(x, '|', 2) AS primary_reason, substr(x, strpos(x, '|') + 1) AS reasons FROM b""",
     "fees_both_profiles": "SELECT o_orderkey, round(o_totalprice * 0.002, 4) AS buy_prod_flat, floor(o_totalprice * 0.00151303 + 0.5) AS buy_ajaib_exact, round(o_totalprice * 0.002, 4) AS sell_prod_flat, floor(o_totalprice * 0.00251303 + 0.5) AS sell_ajaib_exact FROM orders",
     "position_size": "SELECT o_orderkey, CAST(CASE WHEN o_custkey % 40 > 0 THEN greatest(floor(least(o_totalprice / 3, o_totalprice * 0.3 * 0.98) / (o_custkey % 40) / 100), 0) * 100 ELSE 0 END AS BIGINT) AS qty FROM orders",
-    "trade_summary": f"""WITH {CLOSED} SELECT arm, count(*) AS n_closed, round(count(*) FILTER (net > 0) / count(*) * 100, 2) AS win_rate_pct, round(avg(ret_pct), 4) AS mean_ret_pct,
-      round(list_sort(list(ret_pct))[count(*) // 2 + 1], 4) AS median_ret_pct, round(sum(net), 2) AS total_net, round(avg(bars_held), 2) AS mean_bars_held FROM tr8 GROUP BY 1""",
+    "trade_summary": f"""WITH {CLOSED} SELECT arm, count(*) AS n_closed, {half_even("count(*) FILTER (net > 0) / count(*) * 100", 2)} AS win_rate_pct, {half_even("avg(ret_pct)", 4)} AS mean_ret_pct,
+      {half_even("list_sort(list(ret_pct))[count(*) // 2 + 1]", 4)} AS median_ret_pct, {half_even("sum(net)", 2)} AS total_net, {half_even("avg(bars_held)", 2)} AS mean_bars_held FROM tr8 GROUP BY 1""",
     "upper_median": "SELECT o_orderpriority, list_sort(list(o_totalprice))[count(*) // 2 + 1] AS median_price FROM orders GROUP BY 1",
     "exit_reason_counts": f"WITH {CLOSED} SELECT arm, exit_reason, count(*) AS trades FROM tr8 GROUP BY 1, 2",
-    "fee_sensitivity": f"WITH {CLOSED} SELECT arm, round(sum(net), 2) AS total_net_flat, round(sum(net_exact), 2) AS total_net_exact, round(sum(net_exact) - sum(net), 2) AS fee_impact FROM tr8 GROUP BY 1",
+    "fee_sensitivity": f"WITH {CLOSED} SELECT arm, {half_even("sum(net)", 2)} AS total_net_flat, {half_even("sum(net_exact)", 2)} AS total_net_exact, {half_even("sum(net_exact) - sum(net)", 2)} AS fee_impact FROM tr8 GROUP BY 1",
     "trades_only_b0": f"WITH {CLOSED}, {DELTA.format(d='sd', t='tr8')} SELECT ticker || '@' || CAST(date AS VARCHAR) AS trade FROM dl WHERE side = 'only_B0'",
     "trades_common": f"WITH {CLOSED}, {DELTA.format(d='sd', t='tr8')} SELECT side, count(*) AS trades FROM dl GROUP BY 1",
     "mark_equity": f"WITH {ASOF} SELECT d AS date, round(sum(close * 100) + 1e7, 2) AS equity FROM ao GROUP BY 1",
-    "canonical_sha": f"""WITH {EV} SELECT ticker, date, sha256('{{"date":"' || CAST(date AS VARCHAR) || '","ticker":"' || ticker || '"}}') AS id FROM ev""",
+    "canonical_sha": f"""WITH {EV} SELECT ticker, date, sha256('{{"close":' || CAST(close AS VARCHAR) || ',"date":"' || CAST(date AS VARCHAR) || '","high":' || CAST(high AS VARCHAR) || ',"low":' || CAST(low AS VARCHAR)
+      || ',"open":' || CAST(open AS VARCHAR) || ',"ticker":"' || ticker || '","volume":' || CAST(volume AS VARCHAR) || '}}') AS id FROM ev""",
+    "half_even_rounding": f"""SELECT l_orderkey, l_linenumber, {half_even("l_extendedprice * (1 - l_discount)", 2)} AS price, {half_even("l_extendedprice * (1 - l_discount) * (1 + l_tax)", 4)} AS charge,
+      {half_even("l_quantity / 8", 2)} AS eighths, {half_even("-l_quantity / 4", 1)} AS quarters FROM lineitem""",
     "ledger_seq": "SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS id, 1000 + row_number() OVER (ORDER BY o_orderkey) AS ledger_seq FROM orders",
     "ledger_unique_violations": "SELECT o_custkey AS slot, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
     "ledger_dangling": "SELECT DISTINCT l_orderkey AS order_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 <> 0)",
