@@ -36,8 +36,9 @@ def main(argv: list[str] | None = None) -> int:
     config = cfg.load(args.config)
     root, out = config["storage"]["input_root"], config["storage"]["output_root"]
     snapshots, ledger_root, artifacts = os.path.join(root, "snapshots"), config["storage"]["ledger"], os.path.join(out, "runs")
+    spark = local_session()
     if args.command == "verify":
-        found = snap.verify(os.path.join(snapshots, args.snapshot))
+        found = snap.verify(spark, os.path.join(snapshots, args.snapshot))
     elif args.command == "preflight":
         found = runs.preflight(config, snapshots, args.snapshot, args.mode == "scheduled", output=out, ledger=ledger_root)
     else:
@@ -45,8 +46,6 @@ def main(argv: list[str] | None = None) -> int:
     if found is not None:
         print(json.dumps({"ok": not found, "problems": found}, indent=1))
         return 78 if found else 0
-
-    spark = local_session()
     if args.command == "bridge":
         os.makedirs(snapshots, exist_ok=True)
         sources = [snap.Source(s["name"], s["path"], tuple((t["name"], t["date_column"]) for t in s["tables"])) for s in config["bridge"]["sources"]]

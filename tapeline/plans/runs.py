@@ -47,7 +47,7 @@ def preflight(config: dict, root: str, snapshot_id: str | None = None, scheduled
         out.append(f"{root} is writable")
     if snapshot_id:
         folder = os.path.join(root, snapshot_id)
-        out += verify(folder) if os.path.isfile(os.path.join(folder, "manifest.json")) else [f"no snapshot {snapshot_id}"]
+        out += verify(SparkSession.active(), folder) if os.path.isfile(os.path.join(folder, "manifest.json")) else [f"no snapshot {snapshot_id}"]
     return out + (cfg.schedule_problems(config) if scheduled else [])
 
 

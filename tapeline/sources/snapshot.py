@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 import os
 import re
 import shutil
@@ -12,16 +12,34 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import closing
 from dataclasses import dataclass
+from datetime import date, timedelta
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
+    Not,
+)
+from pyspark.sql.types import StructType
 
 from tapeline.canonical import canonical_id
 
-CHUNK = 1 << 20
 #: Rows of a table that one read task takes.
 ROWS_A_TASK = 200_000
+#: Rows of a snapshot's file at most.
+ROWS_A_FILE = 1_000_000
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
 _TYPES = {"INTEGER": "long", "INT": "long", "REAL": "double", "TEXT": "string", "BLOB": "binary"}
 
@@ -40,7 +58,7 @@ class Source:
 
 
 def _open(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{os.path.abspath(path)}?mode=ro", uri=True, timeout=60)
+    return sqlite3.connect(f"file:{quote(os.path.abspath(path))}?mode=ro", uri=True, timeout=60)
 
 
 def _quoted(name: str) -> str:
@@ -48,7 +66,13 @@ def _quoted(name: str) -> str:
 
 
 class SqliteDataSource(DataSource):
-    """spark.read.format("sqlite").options(path=..., table=...): tables of a database, read by ranges of row ids."""
+    """spark.read.format("sqlite").options(path=..., table=...): tables and views of a database.
+
+    Only the columns of the schema asked for are read (read_sqlite takes the names). Filters that SQLite
+    judges as Spark does go into its WHERE clause. Tables are read by ranges of row ids, tables without row ids by ranges
+    of their first key column where it is a whole number, and views in one task. The option `rows` is how many rows a
+    task takes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -59,7 +83,7 @@ class SqliteDataSource(DataSource):
             columns = db.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
         if not columns:
             raise SnapshotError(f"no table {self.options['table']}")
-        return ", ".join(f"`{c[1]}` {_TYPES.get((c[2] or 'TEXT').upper(), 'string')}" for c in columns)
+        return ", ".join(f"{_ticked(c[1])} {_TYPES.get((c[2] or 'TEXT').upper(), 'string')}" for c in columns)
 
     def reader(self, schema) -> SqliteReader:
         return SqliteReader(dict(self.options), schema)
@@ -67,44 +91,141 @@ class SqliteDataSource(DataSource):
 
 @dataclass
 class _Rows(InputPartition):
-    low: int
-    high: int
+    """Rows whose key is in low..high; all rows if there is no key."""
+
+    key: str | None = None
+    low: int = 0
+    high: int = 0
+
+
+#: Storage classes under which SQLite compares a column as Spark compares its type.
+_CLASSES = {"bigint": ("integer", "null"), "double": ("real", "null"), "string": ("text", "null")}
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema):
         self.path, self.table, self.fields = options["path"], options["table"], schema.fields
+        self.rows = int(options.get("rows", ROWS_A_TASK))
+        self.where: list[tuple[str, list]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes the filters that compare a column with constants, and returns the others for Spark to judge."""
+        kinds = {f.name: f.dataType.simpleString() for f in self.fields}
+        for f in filters:
+            found = self._sql(f, kinds)
+            if found:
+                self.where.append(found)
+            else:
+                yield f
+
+    def _sql(self, f: Filter, kinds: dict[str, str]) -> tuple[str, list] | None:
+        if isinstance(f, Not):
+            inner = self._sql(f.child, kinds) if isinstance(f.child, IsNull | In | EqualTo) else None
+            return inner and (f"NOT ({inner[0]})", inner[1])
+        attribute = getattr(f, "attribute", None)
+        if not attribute or len(attribute) != 1 or attribute[0] not in kinds:
+            return None
+        column, kind = _quoted(attribute[0]), kinds[attribute[0]]
+        if isinstance(f, IsNull | IsNotNull):
+            return f"{column} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", []
+        values = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+        wanted = {"bigint": int, "double": int | float, "string": str}.get(kind)
+        # a column may hold values of other classes, which are converted as they are read
+        if wanted is None or not all(isinstance(v, wanted) and not isinstance(v, bool) and (not isinstance(v, float) or math.isfinite(v)) for v in values) or not self._plain(attribute[0], kind):
+            return None
+        compared = f"{column} COLLATE BINARY" if kind == "string" else column
+        if isinstance(f, In):
+            return f"{compared} IN ({', '.join('?' * len(values))})", values
+        if type(f) in _COMPARED:
+            return f"{compared} {_COMPARED[type(f)]} ?", values
+        return None
+
+    def _plain(self, column: str, kind: str) -> bool:
+        """Whether every value of a column has a class that compares as its type does; texts by their UTF-8 bytes."""
+        marks = ", ".join("?" * len(_CLASSES[kind]))
+        with closing(_open(self.path)) as db:
+            return db.execute("PRAGMA encoding").fetchone()[0] == "UTF-8" and not db.execute(f"SELECT EXISTS (SELECT 1 FROM {_quoted(self.table)} WHERE typeof({_quoted(column)}) NOT IN ({marks}))", _CLASSES[kind]).fetchone()[0]
+
+    def _key(self, db: sqlite3.Connection) -> str | None:
+        """What to cut the rows by: the row id, else a first key column that holds whole numbers only."""
+        kind = db.execute("SELECT type FROM sqlite_master WHERE name = ?", (self.table,)).fetchone()
+        if not kind or kind[0] != "table":
+            return None
+        columns = db.execute(f"PRAGMA table_info({_quoted(self.table)})").fetchall()
+        taken = {c[1].lower() for c in columns}
+        for name in (n for n in ("rowid", "_rowid_", "oid") if n not in taken):
+            try:
+                db.execute(f"SELECT {name} FROM {_quoted(self.table)} LIMIT 0")
+                return name
+            except sqlite3.OperationalError:  # a table without row ids
+                break
+        first = next((c[1] for c in columns if c[5] == 1), None)
+        whole = first and db.execute(f"SELECT NOT EXISTS (SELECT 1 FROM {_quoted(self.table)} WHERE typeof({_quoted(first)}) <> 'integer')").fetchone()[0]
+        return _quoted(first) if whole else None
 
     def partitions(self) -> list[_Rows]:
         with closing(_open(self.path)) as db:
-            low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {_quoted(self.table)}").fetchone()
-        return [_Rows(a, min(high, a + ROWS_A_TASK - 1)) for a in range(low, high + 1, ROWS_A_TASK)]
-
-    def read(self, part: _Rows) -> Iterator[tuple]:
-        kinds = {"long": int, "double": float, "string": str}
-        casts = [kinds.get({"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString()), lambda x: x) for f in self.fields]
+            key = self._key(db)
+            if not key:
+                return [_Rows()]
+            low, high, rows = db.execute(f"SELECT min({key}), max({key}), count(*) FROM {_quoted(self.table)}").fetchone()
+        if not rows:
+            return []
+        # keys may be sparse, so that as many ranges are cut as the rows need
+        width = max(1, -(-(high - low + 1) // max(1, -(-rows // self.rows))))
+        return [_Rows(key, a, min(high, a + width - 1)) for a in range(low, high + 1, width)]
+
+    def read(self, part: _Rows | None) -> Iterator[tuple]:
+        if part is None:  # of a table without rows
+            return
+        kinds = {"bigint": int, "double": float, "string": str}
+        casts = [kinds.get(f.dataType.simpleString(), lambda x: x) for f in self.fields]
+        tests, values = [t for t, _ in self.where], [v for _, some in self.where for v in some]
+        if part.key:
+            tests.append(f"{part.key} BETWEEN ? AND ?")
+            values += [part.low, part.high]
+        where = f" WHERE {' AND '.join(tests)}" if tests else ""
         with closing(_open(self.path)) as db:
-            names = ", ".join(_quoted(f.name) for f in self.fields)
-            for row in db.execute(f"SELECT {names} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (part.low, part.high)):
-                yield tuple(None if v is None else cast(v) for v, cast in zip(row, casts, strict=True))
+            names = ", ".join(_quoted(f.name) for f in self.fields) or "1"
+            for row in db.execute(f"SELECT {names} FROM {_quoted(self.table)}{where}", values):
+                yield tuple(None if v is None else cast(v) for v, cast in zip(row, casts, strict=False))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
-    spark.dataSource.register(SqliteDataSource)
-    return spark.read.format("sqlite").options(path=path, table=table).load()
+def _ticked(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def hash_file(path: str) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while chunk := f.read(CHUNK):
-            digest.update(chunk)
-    return digest.hexdigest()
+def read_sqlite(spark: SparkSession, path: str, table: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """A table or view of a database; of its columns only those named are read."""
+    spark.dataSource.register(SqliteDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("sqlite").options(path=path, table=table)
+    if columns is None:
+        return reader.load()
+    whole = SqliteDataSource({"path": path, "table": table}).schema()
+    fields = {f.name: f for f in StructType.fromDDL(whole).fields}
+    if absent := [c for c in columns if c not in fields]:
+        raise SnapshotError(f"{table} has no columns {absent}")
+    return reader.schema(StructType([fields[c] for c in columns])).load()
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """path (below the folder), bytes and sha256 of every data file; tasks read and hash the files.
+
+    Files are listed as Spark lists tables: what starts with a dot or an underscore, or is empty, is no data. A file that can't be
+    read, as its checksum says that it was changed, has no sha256.
+    """
+    base = os.path.abspath(folder)
+    read = spark.read.format("binaryFile").options(recursiveFileLookup=True, ignoreCorruptFiles=True)
+    files = read.load(f"file://{base}").withColumn("path", F.substring(F.regexp_replace("path", "^file:/+", "/"), len(base) + 2, 1 << 20))
+    listed = files.select("path", F.col("length").alias("bytes"))  # reads no file
+    return listed.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path", "left")
 
 
 def _content_id(df: DataFrame) -> str:
     """A hash of the rows that does not depend on their order: it names the content, not a file."""
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns])
+    row = F.xxhash64(*[F.coalesce(F.col(_ticked(c)).cast("string"), F.lit("\0")) for c in df.columns])
     got = df.agg(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(38,0)")).alias("s")).first()
     return canonical_id([df.dtypes and [list(t) for t in df.dtypes], got.n, got.x, str(got.s)])
 
@@ -131,13 +252,14 @@ def _sealed_table(spark: SparkSession, database: str, source: Source, name: str,
         rows = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
     df = read_sqlite(spark, database, name)
     target = os.path.join(staging, source.name, name)
-    df.write.parquet(target)
+    # a file is hashed as one value, so it stays far below what such a value can hold
+    df.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(target)
     back = spark.read.schema(df.schema).parquet(target)
-    got = back.agg(F.count("*").alias("n"), *(f(column).cast("string").alias(k) for k, f in (("min", F.min), ("max", F.max)) if column)).first().asDict()
+    got = back.agg(F.count("*").alias("n"), *(f(_ticked(column)).cast("string").alias(k) for k, f in (("min", F.min), ("max", F.max)) if column)).first().asDict()
     if got["n"] != rows:
         raise SnapshotError(f"{source.name}.{name}: {got['n']} of {rows} rows after the copy")
-    files = {f: hash_file(os.path.join(target, f)) for f in sorted(os.listdir(target)) if f.endswith(".parquet")}
-    sizes = {f: os.path.getsize(os.path.join(target, f)) for f in files}
+    written = sorted(file_digests(spark, target).collect())  # a row for each file
+    files, sizes = {r.path: r.sha256 for r in written}, {r.path: r.bytes for r in written}
     return {"name": name, "rows": rows, "date_column": column, "min_date": got.get("min"), "max_date": got.get("max"), "content": _content_id(back), "files": files, "bytes": sizes}
 
 
@@ -171,7 +293,7 @@ def bridge(spark: SparkSession, sources: Iterable[Source], root: str, keep: int
         if os.path.isdir(final):
             return load_manifest(final)
         _write_manifest(staging, manifest)
-        if found := [x for x in verify(staging) if x != "status VALIDATING"]:
+        if found := [x for x in verify(spark, staging) if x != "status VALIDATING"]:
             raise SnapshotError("; ".join(found))
         manifest["status"] = "READY"
         _write_manifest(staging, manifest)
@@ -210,26 +332,33 @@ def load_manifest(folder: str) -> dict:
         return json.load(f)
 
 
-def verify(folder: str) -> list[str]:
-    """What is wrong with a snapshot: its status; missing, changed or additional files."""
-    manifest, out = load_manifest(folder), []
-    if manifest["status"] != "READY":
-        out.append(f"status {manifest['status']}")
-    known = {"manifest.json"}
-    for d in manifest["datasets"]:
-        for t in d["tables"]:
-            known.add(os.path.join(d["name"], t["name"], "_SUCCESS"))
-            for name, digest in t["files"].items():
-                path = os.path.join(folder, d["name"], t["name"], name)
-                known.add(os.path.join(d["name"], t["name"], name))
-                if not os.path.isfile(path):
-                    out.append(f"missing {d['name']}.{t['name']}/{name}")
-                elif os.path.getsize(path) != t["bytes"][name] or hash_file(path) != digest:
-                    out.append(f"changed {d['name']}.{t['name']}/{name}")
-    for at, _, names in os.walk(folder):
-        found = (os.path.relpath(os.path.join(at, name), folder) for name in sorted(names) if not name.endswith(".crc"))
-        out += [f"unknown {name}" for name in found if name not in known]
-    return out
+_MANIFEST = "status string, datasets array<struct<name:string,tables:array<struct<name:string,files:map<string,string>,bytes:map<string,long>>>>>"
+
+
+def expected_files(spark: SparkSession, folder: str) -> DataFrame:
+    """table, path, bytes and sha256 of every file that a snapshot's manifest lists."""
+    manifest = spark.read.schema(_MANIFEST).option("multiLine", True).json(f"file://{os.path.abspath(folder)}/manifest.json")
+    tables = manifest.select(F.explode("datasets").alias("d")).select("d.name", F.explode("d.tables").alias("t"))
+    listed = tables.select("name", "t.name", "t.bytes", F.explode("t.files").alias("file", "sha256")).toDF("dataset", "name", "sizes", "file", "sha256")
+    return listed.select(F.concat_ws(".", "dataset", "name").alias("table"), "file", F.concat_ws("/", "dataset", "name", "file").alias("path"), F.col("sizes")[F.col("file")].alias("bytes"), "sha256")
+
+
+def verify(spark: SparkSession, folder: str) -> list[str]:
+    """What is wrong with a snapshot: its status; missing, changed or additional files.
+
+    The files are hashed by tasks and joined with the manifest both ways; only what is wrong comes back.
+    """
+    status = load_manifest(folder)["status"]
+    wanted, found = expected_files(spark, folder), file_digests(spark, folder).where("path <> 'manifest.json'")
+    pairs = wanted.join(found.select("path", F.col("bytes").alias("now_bytes"), F.col("sha256").alias("now")), "path", "full_outer")
+    name = F.concat("table", F.lit("/"), "file")
+    problem = (
+        F.when(F.col("table").isNull(), F.concat(F.lit("unknown "), "path"))
+        .when(F.col("now_bytes").isNull(), F.concat(F.lit("missing "), name))
+        .when(~F.col("now").eqNullSafe(F.col("sha256")) | (F.col("now_bytes") != F.col("bytes")), F.concat(F.lit("changed "), name))
+    )
+    wrong = pairs.select(problem.alias("problem")).where("problem is not null").orderBy("problem").collect()
+    return [f"status {status}"] * (status != "READY") + [r.problem for r in wrong]
 
 
 def quarantine(folder: str, reason: str) -> str:
@@ -250,7 +379,7 @@ class Snapshot:
         self.spark, self.folder = spark, os.path.join(os.path.abspath(root), snapshot_id)
         if os.path.islink(self.folder) or not os.path.isdir(self.folder):
             raise SnapshotError(f"no snapshot {snapshot_id}")
-        if problems := verify(self.folder):
+        if problems := verify(spark, self.folder):
             raise SnapshotError("; ".join(problems))
         self.manifest = load_manifest(self.folder)
 
@@ -269,6 +398,9 @@ class Snapshot:
         return self.spark.sql(query, args=args or None)
 
     def window(self, days: int) -> DataFrame:
-        """Prices from `days` days before the cut-off on; there is no upper bound."""
-        start = F.date_sub(F.lit(self.manifest["effective_cutoff"]).cast("date"), days)
-        return self.table("idx_ohlcv", "prices").withColumn("date", F.to_date("date")).where(F.col("date") >= start)
+        """Prices from `days` days before the cut-off on; there is no upper bound.
+
+        Dates are ISO texts, which sort as dates do, so the bound reaches the scan as one.
+        """
+        start = str(date.fromisoformat(self.manifest["effective_cutoff"]) - timedelta(days=days))
+        return self.table("idx_ohlcv", "prices").where(F.col("date") >= start).withColumn("date", F.to_date("date"))

@@ -148,9 +148,10 @@ def test_bridge_checks_its_sources(spark, tmp_path):
     live.close()
     assert (manifest["total_rows"], manifest["status"], manifest["effective_cutoff"]) == (2, "READY", "2026-01-02") and manifest["total_bytes"] > 0
     folder = os.path.join(root, manifest["snapshot_id"])
-    assert os.listdir(root) == [manifest["snapshot_id"]] and snap.verify(folder) == []
-    open(os.path.join(folder, "a", "more.parquet"), "w").close()
-    assert snap.verify(folder) == ["unknown a/more.parquet"]
+    assert os.listdir(root) == [manifest["snapshot_id"]] and snap.verify(spark, folder) == []
+    with open(os.path.join(folder, "a", "more.parquet"), "w") as f:
+        f.write("x")
+    assert snap.verify(spark, folder) == ["unknown a/more.parquet"]
 
 
 def test_config_rules():
@@ -165,7 +166,7 @@ def test_config_rules():
     assert not any("baseline" in x for x in found)  # caps that are not set have their defaults
 
 
-def test_preflight_rules(tmp_path):
+def test_preflight_rules(spark, tmp_path):
     found = runs.preflight({}, str(tmp_path), output=str(tmp_path / "none"), ledger=str(tmp_path / "state" / "ledger"), python=(2, 7))
     assert any("python is" in x for x in found) and any("none" in x for x in found) and os.path.isdir(tmp_path / "state")
     assert environment_hash("3.11", "x") == sha256_hex(b"python=3.11;code=x")

@@ -97,7 +97,7 @@ def sealed(spark, tmp_path_factory):
 
 def test_snapshot(spark, sealed):
     folder, sources, root, manifest = sealed
-    assert manifest["status"] == "READY" and snap.verify(os.path.join(root, manifest["snapshot_id"])) == []
+    assert manifest["status"] == "READY" and snap.verify(spark, os.path.join(root, manifest["snapshot_id"])) == []
     assert snap.bridge(spark, sources, root)["snapshot_id"] == manifest["snapshot_id"]
     s = snap.Snapshot(spark, root, manifest["snapshot_id"])
     assert s.sql("idx_ohlcv", "SELECT count(*) AS n FROM prices WHERE ticker = :t", t="CC").first().n == 200
@@ -138,7 +138,7 @@ def test_tampering_shows(spark, sealed):
     name = next(f for f in os.listdir(table) if f.endswith(".parquet"))
     with open(os.path.join(table, name), "ab") as f:
         f.write(b"x")
-    assert snap.verify(folder) == [f"changed idx_ohlcv.prices/{name}"]
+    assert snap.verify(spark, folder) == [f"changed idx_ohlcv.prices/{name}"]
     moved = snap.quarantine(folder, "changed")
     assert snap.load_manifest(moved)["status"] == "QUARANTINED" and not os.path.isdir(folder)
 
