@@ -1,6 +1,6 @@
 """Columns that agree with Python to the last digit: rounding half to even, shortest texts of doubles, canonical JSON.
 
-All are built-in expressions of the engine, so they stay in generated code and need no Python worker.
+All are built-in expressions of the engine, so they run where the rows are and need no Python worker.
 """
 
 from __future__ import annotations

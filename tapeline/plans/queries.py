@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapeline import ledger
 from tapeline.functions import exact
 from tapeline.functions import features as ft
-from tapeline.operators import buckets, market, profile, replay
+from tapeline.operators import append, buckets, market, profile, replay
 from tapeline.params import FEE_PROFILES, FRESHNESS_STATUSES, PROFILE_STATUSES, Params
 from tapeline.sources import bars as src
 from tapeline.sources import stats
@@ -367,6 +367,19 @@ def ledger_dangling(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.dangling(items, "order_id", orders)
 
 
+def append_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a batch of records: every third is held, every fourth sent again, every sixth sent with another result.
+
+    A customer has one order for each priority; customers of every fifth number are unknown.
+    """
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_totalprice").cast("string").alias("result_digest"), "o_custkey", "o_orderpriority", F.col("o_custkey").alias("ref"))
+    customers = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"))
+    held = orders.where("o_orderkey % 3 = 0").groupBy("o_custkey", "o_orderpriority").agg(F.min_by(F.struct("id", "result_digest"), "o_orderkey").alias("r")).select("o_custkey", "o_orderpriority", "r.*")
+    sent = F.array_compact(F.array(F.struct(F.lit(0).alias("k"), F.col("result_digest").alias("d")), F.when(F.col("o_orderkey") % 4 == 0, F.struct(F.lit(1).alias("k"), F.col("result_digest").alias("d"))), F.when(F.col("o_orderkey") % 6 == 0, F.struct(F.lit(2).alias("k"), F.lit("another").alias("d")))))
+    batch = orders.select("*", F.explode(sent).alias("s")).select((F.col("s.k") * 1_000_000_000_000 + F.col("o_orderkey")).alias("no"), "id", F.col("s.d").alias("result_digest"), "o_custkey", "o_orderpriority", "ref")
+    return append.judge(batch, held, order=["no"], unique=["o_custkey", "o_orderpriority"], references={"ref": customers}).select("no", "id", "outcome")
+
+
 def latest_in_group(spark: SparkSession, sf: str) -> DataFrame:
     """The newest order of each customer, as the ledger finds the latest run of a slot."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
@@ -402,6 +415,6 @@ QUERIES: dict[str, Query] = {
         terminal_buckets, simulated_trades, bucket_daily, bucket_avg, bucket_assign_reasons, bucket_invariant, topn_by_cap, b0_b1_candidate_delta, exit_events,
         trade_outcomes, suspended_exits, fees_both_profiles, position_size, trade_summary, upper_median, exit_reason_counts,
         fee_sensitivity, trades_only_b0, trades_common, mark_equity, canonical_sha, half_even_rounding, ledger_seq, ledger_unique_violations,
-        ledger_dangling, latest_in_group, replay_book, e0_report,
+        ledger_dangling, append_outcomes, latest_in_group, replay_book, e0_report,
     )
 }

@@ -285,6 +285,13 @@ SELECT o_orderkey, split_part(x, '|', 1) AS bucket, split_part(x, '|', 2) AS pri
     "ledger_seq": "SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS id, 1000 + row_number() OVER (ORDER BY o_orderkey) AS ledger_seq FROM orders",
     "ledger_unique_violations": "SELECT o_custkey AS slot, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
     "ledger_dangling": "SELECT DISTINCT l_orderkey AS order_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 <> 0)",
+    "append_outcomes": """WITH o AS (SELECT o_orderkey AS k, 'o' || o_orderkey AS id, CAST(o_totalprice AS VARCHAR) AS digest, o_custkey AS c, o_orderpriority AS p FROM orders),
+held AS (SELECT * FROM o WHERE k % 3 = 0 QUALIFY row_number() OVER (PARTITION BY c, p ORDER BY k) = 1),
+b AS (SELECT k AS no, * FROM o UNION ALL SELECT 1000000000000 + k, * FROM o WHERE k % 4 = 0 UNION ALL SELECT 2000000000000 + k, k, id, 'another', c, p FROM o WHERE k % 6 = 0),
+d AS (SELECT b.*, c % 5 = 0 OR c NOT IN (SELECT c_custkey FROM customer) AS lost, EXISTS (SELECT 1 FROM held h WHERE h.id = b.id) AS known, EXISTS (SELECT 1 FROM held h WHERE h.c = b.c AND h.p = b.p) AS taken FROM b),
+f AS (SELECT *, min(no) OVER (PARTITION BY id) AS first_no, arg_min(digest, no) OVER (PARTITION BY id) AS first_digest, arg_min(id, no) FILTER (NOT known) OVER (PARTITION BY c, p) AS winner FROM d)
+SELECT no, id, CASE WHEN known THEN CASE WHEN digest = (SELECT h.digest FROM held h WHERE h.id = f.id) THEN 'IDEMPOTENT' ELSE 'CONFLICT' END WHEN lost THEN 'DANGLING' WHEN taken OR winner <> id THEN 'DUPLICATE'
+  WHEN no = first_no THEN 'NEW' WHEN digest = first_digest THEN 'IDEMPOTENT' ELSE 'CONFLICT' END AS outcome FROM f""",
     "latest_in_group": "SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS generation FROM orders GROUP BY 1",
 }
 SQL = {name: _halves_up(sql) for name, sql in SQL.items()}
