@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+def half_even(x: str, places: int) -> str:
+    """x rounded by its exact value, ties to even: the engine's own formatting does that."""
+    return f"CAST(format('{{:.{places}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 EV = """ev AS (
   SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, arg_min(value, row(ts, event_id)) AS open, max(value) AS high,
     min(value) AS low, arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
@@ -174,6 +179,59 @@ tr8 AS (
     round((exit * 100 - entry * 100 - entry * 100 * 0.002 - exit * 100 * 0.002) / (entry * 100) * 100, 6) AS ret_pct
   FROM out WHERE exit_date IS NOT NULL)"""
 
+_LEFT = "{'ticker': %s.ticker, 'sig': %s, 'qty': %s, 'entry': %s.entry, 'exit_date': %s.exit_date, 'exit': %s.exit, 'exit_reason': %s.exit_reason, 'bars_held': %s.bars_held}"
+_POSITIONS = "STRUCT(ticker VARCHAR, sig DATE, qty BIGINT, entry DOUBLE, exit_date DATE, exit DOUBLE, exit_reason VARCHAR, bars_held BIGINT)[]"
+
+
+def _side(x: str, rate: str) -> str:
+    return f"CASE WHEN profile = 'PROD_FLAT' THEN ({x}) * 0.002 ELSE floor(({x}) * {rate} + 0.5) END"
+
+
+def _value(cash: str, positions: str) -> str:
+    return f"{cash} + list_reduce([0.0::DOUBLE] || list_transform({positions}, lambda p: p.qty * m[p.ticker]), lambda a, b: a + b)"
+
+
+def _pick(k: int) -> str:
+    """A step of the walk: the size of the k-th pick and the cash after it."""
+    e, q = f"picked[{k}].entry", f"q{k}"
+    size = f"CASE WHEN {e} > 0 THEN greatest(0, floor(least(equity / 3, cash{k - 1} * 0.98) / {e} / 100)) * 100 ELSE 0 END"
+    return f"SELECT *, cash{k - 1} - CASE WHEN {q} > 0 THEN {q} * {e} + {_side(f'{q} * {e}', '0.00151303')} ELSE 0 END AS cash{k} FROM (SELECT *, CAST({size} AS BIGINT) AS {q} FROM x{k - 1})"
+
+
+def _picked(k: int) -> str:
+    row = f"picked[{k}]"
+    return f"CASE WHEN len(picked) >= {k} THEN {_LEFT % (row, 'd', f'q{k}', row, row, row, row, row)} END"
+
+
+# the book day by day: cash and open positions are the state of a recursion, a day's closes and picks are kept beside it
+BOOK = _outcomes(f"""{CANDIDATES},
+sig AS (SELECT arm || ticker || '@' || CAST(d AS VARCHAR) AS key, arm, ticker, d AS sd, score, entry, sl, tp1 FROM cd WHERE bucket = 'QUALIFIED')""") + f""",
+days AS (SELECT dd.d, row_number() OVER (ORDER BY dd.d) AS n, m FROM dd LEFT JOIN (SELECT d, map_from_entries(list((ticker, close))) AS m FROM ao GROUP BY 1) USING (d)),
+cands AS (SELECT arm, sd, list({{'ticker': ticker, 'entry': entry, 'exit_date': exit_date, 'exit': exit, 'exit_reason': exit_reason, 'bars_held': bars_held}} ORDER BY score DESC, ticker) AS c FROM out GROUP BY 1, 2),
+walk AS (
+  SELECT arm, profile, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS d, CAST(1e7 AS DOUBLE) AS cash, CAST([] AS {_POSITIONS}) AS positions, CAST([] AS {_POSITIONS}) AS closed, CAST([] AS {_POSITIONS}) AS picks, CAST(NULL AS DOUBLE) AS equity
+  FROM (VALUES ('B0'), ('B1')) a(arm), (VALUES ('PROD_FLAT'), ('AJAIB_EXACT')) p(profile)
+  UNION ALL
+  (WITH s AS (
+    SELECT w.arm, w.profile, days.n, days.d, m, coalesce(c, []) AS c, w.cash, list_filter(w.positions, lambda p: p.exit_date = days.d) AS closed, list_filter(w.positions, lambda p: p.exit_date IS NULL OR p.exit_date <> days.d) AS kept
+    FROM walk w JOIN days ON days.n = w.n + 1 LEFT JOIN cands ON cands.arm = w.arm AND cands.sd = days.d),
+  t AS (SELECT *, list_reduce([cash] || list_transform(closed, lambda p: p.exit * p.qty - ({_side("p.exit * p.qty", "0.00251303")})), lambda a, b: a + b) AS cash0, list_transform(kept, lambda p: p.ticker) AS owned FROM s),
+  x0 AS (SELECT *, {_value("cash0", "kept")} AS equity, list_filter(c, lambda r: NOT list_contains(owned, r.ticker))[1:3] AS picked FROM t),
+  x1 AS ({_pick(1)}), x2 AS ({_pick(2)}), x3 AS ({_pick(3)}),
+  y AS (SELECT *, CAST(list_filter([{_picked(1)}, {_picked(2)}, {_picked(3)}], lambda r: r IS NOT NULL) AS {_POSITIONS}) AS picks FROM x3),
+  z AS (SELECT *, kept || list_filter(picks, lambda r: r.qty > 0) AS positions FROM y)
+  SELECT arm, profile, n, d, cash3, positions, closed, picks, {_value("cash3", "positions")} FROM z)),
+moves AS (
+  SELECT arm, profile, 'TRADE' AS kind, d AS date, t, CAST(NULL AS DOUBLE) AS equity, CAST(NULL AS BIGINT) AS n_open FROM (SELECT arm, profile, d, unnest(closed) AS t FROM walk)
+  UNION ALL SELECT arm, profile, 'PICK', d, t, NULL, NULL FROM (SELECT arm, profile, d, unnest(picks) AS t FROM walk)
+  UNION ALL SELECT arm, profile, 'OPEN', d, t, NULL, NULL FROM (SELECT arm, profile, d, unnest(positions) AS t FROM walk WHERE n = (SELECT max(n) FROM days))
+  UNION ALL SELECT arm, profile, 'DAY', d, NULL, {half_even("equity", 2)}, len(positions) FROM walk WHERE n > 0),
+book AS (
+  SELECT arm, profile, kind, date, t.ticker AS ticker, t.sig AS sig_date, t.qty AS qty, t.entry AS entry, CASE WHEN kind = 'TRADE' THEN t.exit END AS exit, CASE WHEN kind = 'TRADE' THEN t.exit_reason END AS exit_reason,
+    CASE WHEN kind = 'TRADE' THEN t.bars_held END AS bars_held,
+    CASE WHEN kind = 'TRADE' THEN t.exit * t.qty - t.entry * t.qty - (({_side("t.entry * t.qty", "0.00151303")}) + ({_side("t.exit * t.qty", "0.00251303")})) END AS net, CAST(equity AS DOUBLE) AS equity, CAST(n_open AS BIGINT) AS n_open FROM moves),
+booked AS (SELECT arm, profile, kind, date, ticker, sig_date, qty, entry, exit, exit_reason, bars_held, net, net / (entry * qty) * 100 AS ret_pct, equity, n_open FROM book)"""
+
 _DATED = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -190,11 +248,6 @@ dl AS (SELECT ticker, date, CASE WHEN l AND r THEN 'common' WHEN l THEN 'only_B0
 
 
 
-def half_even(x: str, places: int) -> str:
-    """x rounded by its exact value, ties to even: the engine's own formatting does that."""
-    return f"CAST(format('{{:.{places}f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
-
-
 def _halves_up(sql: str) -> str:
     """round(x, n) spelled out as plain arithmetic, innermost first."""
     while (start := sql.rfind("round(")) >= 0:
@@ -292,6 +345,12 @@ d AS (SELECT b.*, c % 5 = 0 OR c NOT IN (SELECT c_custkey FROM customer) AS lost
 f AS (SELECT *, min(no) OVER (PARTITION BY id) AS first_no, arg_min(digest, no) OVER (PARTITION BY id) AS first_digest, arg_min(id, no) FILTER (NOT known) OVER (PARTITION BY c, p) AS winner FROM d)
 SELECT no, id, CASE WHEN known THEN CASE WHEN digest = (SELECT h.digest FROM held h WHERE h.id = f.id) THEN 'IDEMPOTENT' ELSE 'CONFLICT' END WHEN lost THEN 'DANGLING' WHEN taken OR winner <> id THEN 'DUPLICATE'
   WHEN no = first_no THEN 'NEW' WHEN digest = first_digest THEN 'IDEMPOTENT' ELSE 'CONFLICT' END AS outcome FROM f""",
+    "replay_book": f"WITH RECURSIVE {BOOK} SELECT * FROM booked",
+    "e0_report": f"""WITH RECURSIVE {BOOK}, flat AS (SELECT * FROM booked WHERE profile = 'PROD_FLAT'),
+      tr AS (SELECT arm, count(*) AS n_closed, {half_even("count(*) FILTER (net > 0) / count(*) * 100", 2)} AS win_rate_pct, {half_even("avg(ret_pct)", 4)} AS mean_ret_pct, {half_even("sum(net)", 2)} AS total_net,
+        {half_even("avg(bars_held)", 2)} AS mean_bars_held, {half_even("list_sort(list(ret_pct))[count(*) // 2 + 1]", 4)} AS median_ret_pct FROM flat WHERE kind = 'TRADE' GROUP BY 1),
+      op AS (SELECT arm, count(*) AS n_open FROM flat WHERE kind = 'OPEN' GROUP BY 1), eq AS (SELECT arm, arg_max(equity, date) AS final_equity FROM flat WHERE kind = 'DAY' GROUP BY 1)
+      SELECT arm, coalesce(n_closed, 0) AS n_closed, win_rate_pct, mean_ret_pct, total_net, mean_bars_held, median_ret_pct, coalesce(n_open, 0) AS n_open, final_equity FROM tr FULL JOIN op USING (arm) FULL JOIN eq USING (arm)""",
     "latest_in_group": "SELECT o_custkey, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS o_orderkey, count(*) AS generation FROM orders GROUP BY 1",
 }
 SQL = {name: _halves_up(sql) for name, sql in SQL.items()}
