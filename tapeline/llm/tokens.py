@@ -10,6 +10,7 @@ token's id as in the library's plain call.
 from __future__ import annotations
 
 import json
+import operator
 import os
 import re
 from array import array
@@ -22,6 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words of one cache generation; two generations of about 200 bytes a word bound a worker's memory.
 GENERATION = 320_000
 
+_ID = operator.attrgetter("id")
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
 _WORD_START = re.compile(r" (?=\S)")
 
@@ -47,6 +49,7 @@ class _Words(dict):
 #: Letters, numbers and marks of Latin-1, where lower case, NFC and the classes of both patterns are plain.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _CONTROL = re.compile("[^\n\t -~\xa1-\xff]")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
 _BYTE_LEVEL = re.compile(rf"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _LOWER_CASED = re.compile(rf"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
@@ -80,7 +83,7 @@ class WordEncoder:
         return self._ids(pre_token.translate(self.stand_in))
 
     def _ids(self, symbols: str) -> bytes:
-        return array("I", [t.id for t in self.merge(symbols)]).tobytes()
+        return array("I", map(_ID, self.merge(symbols))).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -88,6 +91,13 @@ class WordEncoder:
     def _encode(self, before: str, word: str) -> bytes:
         if word.isascii() and word.isalpha():  # one pre-token, whose letters stand for themselves
             return self._ids((self.stand_in[32] if before else "") + (word.lower() if self.lowers else word))
+        if word.isalpha():
+            if not _CONTROL.search(word):
+                return self._merged(before + (word.lower() if self.lowers else word))
+        else:  # a word and the marks behind it are two pre-tokens
+            base = word.rstrip(_MARKS)
+            if base.isalpha() and len(base) < len(word) and (base.isascii() or not _CONTROL.search(base)):
+                return (self.rest if before else self.first)[base.lower() if self.lowers else base] + self._mark(word[len(base) :])
         text = before + word
         if not text:
             return b""
@@ -103,13 +113,18 @@ class WordEncoder:
             elif t[0] == " " and t[1:].isalpha():
                 out.append(self.rest[t[1:]])
             else:
-                if t not in self.marks:
-                    if len(self.marks) >= GENERATION:
-                        self.marks.clear()
-                    self.marks[t] = self._merged(t)
-                out.append(self.marks[t])
+                out.append(self._mark(t))
         return b"".join(out)
 
+    def _mark(self, t: str) -> bytes:
+        """The ids of a pre-token without letters."""
+        ids = self.marks.get(t)
+        if ids is None:
+            if len(self.marks) >= GENERATION:
+                self.marks.clear()
+            ids = self.marks[t] = self._merged(t)
+        return ids
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian uint32."""
         if not text:
