@@ -82,9 +82,12 @@ def with_liquidity(at_dates: DataFrame, bars: DataFrame, p: Params = Params()) -
     return both.where("row is not null").select("ticker", "date", "avg_value", "row.*")
 
 
-def candidates(bars: DataFrame, index: DataFrame, decisions: DataFrame, p: Params = Params()) -> DataFrame:
-    """Every ticker of every arm and decision date with its score, levels, bucket (QUALIFIED until selected) and reasons."""
-    rows = with_liquidity(as_of(dated_bars(bars, index, decisions, p)), bars, p)
+def candidates(bars: DataFrame, index: DataFrame, decisions: DataFrame, p: Params = Params(), dated: DataFrame | None = None) -> DataFrame:
+    """Every ticker of every arm and decision date with its score, levels, bucket (QUALIFIED until selected) and reasons.
+
+    dated: the dated bars where they are known already; bars then needs no more than their tickers, dates and values.
+    """
+    rows = with_liquidity(as_of(dated_bars(bars, index, decisions, p) if dated is None else dated), bars, p)
     arms = F.array(*[F.struct(F.lit(name).alias("arm"), F.col(f"r20_{lag}").alias("r20"), F.lit(fresh).alias("fresh")) for name, lag, fresh in p.arms])
     rows = rows.withColumn("a", F.explode(arms)).select("*", "a.*").drop("a")
     rows = rows.withColumns(ft.score("r20")).withColumns(ft.levels(p))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline import ledger
+from tapeline import ledger, staging
 from tapeline.functions import exact
 from tapeline.functions import features as ft
 from tapeline.operators import append, buckets, market, profile, replay
@@ -181,6 +181,14 @@ def _events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     return bars, index, market.decision_dates(index, 0), market.regime(index, EVENTS)
 
 
+def _dated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Dated bars, index, decision dates and caps; the bars are derived once and their features once, as queries read them several times."""
+    bars = staging.staged(src.from_events(spark, sf), "bars")
+    index = src.index_from(bars)
+    dates = market.decision_dates(index, 0)
+    return bars, staging.staged(replay.dated_bars(bars, index, dates, EVENTS), "dated"), index, dates, market.regime(index, EVENTS)
+
+
 def asof_last_bar(spark: SparkSession, sf: str) -> DataFrame:
     bars, index, dates, _ = _events(spark, sf)
     return replay.as_of(replay.dated_bars(bars, index, dates, EVENTS)).select("ticker", "date", "bar_date", "close", "n_bars")
@@ -253,8 +261,7 @@ def b0_b1_candidate_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Signals of bars with enough history and at least middling scores, all arms alike, and the dated bars."""
-    bars, index, dates, _ = _events(spark, sf)
-    dated = replay.dated_bars(bars, index, dates, EVENTS)
+    _, dated, *_ = _dated(spark, sf)
     scored = dated.withColumns(ft.score() | ft.levels(EVENTS)).where("entry is not null and score >= 40")
     return scored.select("ticker", "date", "entry", "sl", "tp1", "dec_no", "halts", "suspended"), dated
 
@@ -291,9 +298,8 @@ def position_size(spark: SparkSession, sf: str) -> DataFrame:
 
 def _closed(spark: SparkSession, sf: str, qty: int = 100) -> DataFrame:
     """Closed outcomes of both arms' candidates at one lot each, with net and return under the flat profile."""
-    bars, index, dates, _ = _events(spark, sf)
-    dated = replay.dated_bars(bars, index, dates, EVENTS)
-    found = replay.candidates(bars, index, dates, EVENTS).where("entry is not null and score >= 40 and (not fresh or bar_date = date)")
+    bars, dated, index, dates, _ = _dated(spark, sf)
+    found = replay.candidates(bars, index, dates, EVENTS, dated).where("entry is not null and score >= 40 and (not fresh or bar_date = date)")
     signals = found.select("arm", "ticker", "date", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     out = replay.outcomes(signals, dated, EVENTS).where("exit_date is not null")
     gain = replay.net(F.col("entry"), F.col("exit"), F.lit(qty), "PROD_FLAT", EVENTS)
@@ -388,9 +394,8 @@ def latest_in_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _book(spark: SparkSession, sf: str) -> DataFrame:
-    bars, index, dates, caps = _events(spark, sf)
-    found = replay.candidates(bars, index, dates, EVENTS).where("bucket = 'QUALIFIED'")
-    dated = replay.dated_bars(bars, index, dates, EVENTS)
+    bars, dated, index, dates, caps = _dated(spark, sf)
+    found = staging.staged(replay.candidates(bars, index, dates, EVENTS, dated).where("bucket = 'QUALIFIED'"), "qualified")
     signals = found.select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     return replay.book(replay.outcomes(signals, dated, EVENTS), replay.as_of(dated).select("ticker", "date", "close"), caps, dates, FEE_PROFILES, EVENTS)
 
