@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "bridge":
         os.makedirs(snapshots, exist_ok=True)
         sources = [snap.Source(s["name"], s["path"], tuple((t["name"], t["date_column"]) for t in s["tables"])) for s in config["bridge"]["sources"]]
-        print(json.dumps({k: v for k, v in snap.bridge(spark, sources, snapshots, config["bridge"].get("keep_snapshots", 2)).items() if k != "datasets"}))
+        print(json.dumps({k: v for k, v in snap.bridge(spark, sources, snapshots, config["bridge"].get("keep_snapshots", 2), buckets=config["bridge"].get("buckets", 0)).items() if k != "datasets"}))
     elif args.command in ("profile", "freshness"):
         print(json.dumps(runs.run_profile(spark, snapshots, args.snapshot, ledger_root, artifacts, args.command == "freshness", retry=args.force_retry), default=str))
     elif args.command == "replay":

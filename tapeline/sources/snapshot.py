@@ -35,9 +35,12 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from tapeline.canonical import canonical_id
+from tapeline.sources.bucketed import read_bucketed, write_bucketed
 
 #: Rows of a table that one read task takes.
 ROWS_A_TASK = 200_000
+#: The column by which tables are laid out in buckets.
+KEY = "ticker"
 #: Rows of a snapshot's file at most.
 ROWS_A_FILE = 1_000_000
 _DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
@@ -246,29 +249,43 @@ def backup(source: str, target: str) -> None:
             raise SnapshotError(f"{source}: {found}")
 
 
-def _sealed_table(spark: SparkSession, database: str, source: Source, name: str, column: str | None, staging: str) -> dict:
+def _dated(df: DataFrame, column: str) -> DataFrame:
+    """df with a text column as dates, if every text is an ISO date."""
+    c = F.col(_ticked(column))
+    wrong = c.isNotNull() & ~(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast("date").isNotNull())
+    return df.withColumn(column, c.cast("date")) if dict(df.dtypes)[column] == "string" and df.where(wrong).isEmpty() else df
+
+
+def _sealed_table(spark: SparkSession, database: str, source: Source, name: str, column: str | None, staging: str, buckets: int) -> dict:
     """Copy one table of a database's copy to Parquet and describe it."""
     with closing(_open(database)) as db:
         rows = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
     df = read_sqlite(spark, database, name)
     target = os.path.join(staging, source.name, name)
     # a file is hashed as one value, so it stays far below what such a value can hold
-    df.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(target)
+    layout = {}
+    if buckets and column and KEY in df.columns:
+        df = _dated(df, column)
+        write_bucketed(df, f"file://{os.path.abspath(target)}", KEY, buckets, [column], ROWS_A_FILE)
+        layout = {"layout": {"key": KEY, "buckets": buckets, "sort": [column], "schema": json.loads(df.schema.json())}}
+    else:
+        df.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(target)
     back = spark.read.schema(df.schema).parquet(target)
     got = back.agg(F.count("*").alias("n"), *(f(_ticked(column)).cast("string").alias(k) for k, f in (("min", F.min), ("max", F.max)) if column)).first().asDict()
     if got["n"] != rows:
         raise SnapshotError(f"{source.name}.{name}: {got['n']} of {rows} rows after the copy")
     written = sorted(file_digests(spark, target).collect())  # a row for each file
     files, sizes = {r.path: r.sha256 for r in written}, {r.path: r.bytes for r in written}
-    return {"name": name, "rows": rows, "date_column": column, "min_date": got.get("min"), "max_date": got.get("max"), "content": _content_id(back), "files": files, "bytes": sizes}
+    return {"name": name, "rows": rows, "date_column": column, "min_date": got.get("min"), "max_date": got.get("max"), "content": _content_id(back), "files": files, "bytes": sizes} | layout
 
 
-def bridge(spark: SparkSession, sources: Iterable[Source], root: str, keep: int = 2, created_at: str = "") -> dict:
+def bridge(spark: SparkSession, sources: Iterable[Source], root: str, keep: int = 2, created_at: str = "", buckets: int = 0) -> dict:
     """Copy the allowed tables into a new snapshot and return its manifest; the same content gives the same snapshot.
 
     Each database is backed up first, so all of its tables are of one moment. Tables are written to a staging
     folder, read back and compared; the folder is VALIDATING until it is whole, and then renamed. What fails
-    is removed from staging; old snapshots beyond `keep` go.
+    is removed from staging; old snapshots beyond `keep` go. buckets: dated tables with a ticker are laid out in so many
+    buckets of tickers, sorted by date and with dates of their own type, so that windows over a ticker need no exchange.
     """
     staging = os.path.join(root, f".staging-{uuid.uuid4().hex}")
     copies = f"{staging}-copies"
@@ -281,7 +298,7 @@ def bridge(spark: SparkSession, sources: Iterable[Source], root: str, keep: int
                 there = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")}
             if absent := sorted({name for name, _ in source.tables} - there):
                 raise SnapshotError(f"{source.name}: no tables {absent}")
-            tables = [_sealed_table(spark, database, source, name, column, staging) for name, column in source.tables]
+            tables = [_sealed_table(spark, database, source, name, column, staging, buckets) for name, column in source.tables]
             datasets.append({"name": source.name, "tables": sorted(tables, key=lambda t: t["name"])})
         datasets.sort(key=lambda d: d["name"])
         every = [t for d in datasets for t in d["tables"]]
@@ -385,8 +402,13 @@ class Snapshot:
 
     def table(self, dataset: str, name: str) -> DataFrame:
         for d in self.manifest["datasets"]:
-            if d["name"] == dataset and any(t["name"] == name for t in d["tables"]):
-                return self.spark.read.parquet(os.path.join(self.folder, dataset, name))
+            for t in d["tables"] if d["name"] == dataset else ():
+                path = f"file://{os.path.join(self.folder, dataset, name)}"
+                if t["name"] == name and "layout" in t:
+                    of = t["layout"]
+                    return read_bucketed(self.spark, path, StructType.fromJson(of["schema"]), of["key"], of["buckets"], of["sort"])
+                if t["name"] == name:
+                    return self.spark.read.parquet(path)
         raise SnapshotError(f"no table {dataset}.{name}")
 
     def sql(self, dataset: str, query: str, **args: object) -> DataFrame:

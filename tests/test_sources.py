@@ -7,6 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from tapeline.functions import features as ft
 from tapeline.sources import snapshot as snap
 
 
@@ -144,3 +145,26 @@ def test_price_window_reaches_the_scan(spark, tmp_path):
     window = snap.Snapshot(spark, root, manifest["snapshot_id"]).window(10)
     assert "GreaterThanOrEqual(date,2024-03-18)" in window._jdf.queryExecution().executedPlan().toString()
     assert window.count() == 11 and dict(window.dtypes)["date"] == "date"
+
+
+def test_windows_over_buckets_need_no_exchange(spark, tmp_path):
+    path = str(tmp_path / "p.db")
+    with sqlite3.connect(path) as db:
+        for table in ("prices", "broken"):
+            db.execute(f"CREATE TABLE {table} (date TEXT, ticker TEXT, open REAL, high REAL, low REAL, close REAL, volume REAL)")
+            db.executemany(f"INSERT INTO {table} VALUES (?,?,?,?,?,?,?)", [(f"2024-{1 + d // 28:02}-{1 + d % 28:02}", f"T{t}", 1.0 + d, 2.0 + d, 0.5 + d, 1.5 + d, 100.0) for d in range(80) for t in range(9)])
+        db.execute("INSERT INTO broken (date, ticker) VALUES ('2024-02-31', 'T1')")
+    root = str(tmp_path / "snap's")
+    os.makedirs(root)
+    source = snap.Source("idx_ohlcv", path, (("prices", "date"), ("broken", "date")))
+    plain, manifest = snap.bridge(spark, [source], root), snap.bridge(spark, [source], root, buckets=4)
+    first, second = snap.Snapshot(spark, root, plain["snapshot_id"]), snap.Snapshot(spark, root, manifest["snapshot_id"])
+    bars = second.window(20)
+    assert dict(second.table("idx_ohlcv", "prices").dtypes)["date"] == "date" and dict(second.table("idx_ohlcv", "broken").dtypes)["date"] == "string"
+    plan = ft.features(bars)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "GreaterThanOrEqual(date,2024-03-04)" in plan
+    assert "Exchange" in ft.features(first.window(20))._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, ft.features(bars).collect())) == sorted(map(tuple, ft.features(first.window(20)).collect()))
+    assert manifest["effective_cutoff"] == plain["effective_cutoff"] and second.sql("idx_ohlcv", "SELECT count(*) AS n FROM prices WHERE ticker = 'T3'").first().n == 80
+    files = {t["name"]: len(t["files"]) for t in manifest["datasets"][0]["tables"]}
+    assert all(1 <= n <= 4 for n in files.values())
