@@ -85,7 +85,10 @@ def staged_so_far() -> int:
 
 
 def sweep(since: int, *keep: DataFrame) -> None:
-    """Delete what was staged after staged_so_far() gave `since`, but for the frames to keep."""
+    """Delete what was staged after staged_so_far() gave `since`, but for the frames to keep.
+
+    The list is the process's own, so operators that stage tables must not run in several threads of one driver.
+    """
     kept = {df.staged_path for df in keep}
     for spark, path in _staged[since:]:
         if path not in kept:

@@ -7,7 +7,8 @@ the elements around a word. A linear scan finds the contiguous region of the lar
 own score is positive are the text, so an advert amid an article is left out.
 
 Blocks end at block elements; white space inside one becomes a single space, and blocks are joined by two
-newlines. Null, empty and unreadable pages give an empty text; an unfinished last tag is dropped. Repeated
+newlines. The texts of form controls and embedded frames (`HIDDEN`: buttons, selections, text areas) are no page
+text, wherever they stand. Null, empty and unreadable pages give an empty text; an unfinished last tag is dropped. Repeated
 rows each get a result. Rows without an id are left out; columns beyond id, url and html are ignored.
 """
 

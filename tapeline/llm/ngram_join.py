@@ -21,7 +21,8 @@ Two documents link if 100 * shared >= percent * united shingles. The steps:
 Documents with fewer words than a shingle are one shingle; null and empty texts link with nothing and are
 their own component. Rows that repeat an id are one document: each gets a result, and if their texts differ,
 links of one are links of all (a row without words stays alone). Rows without an id are left out. Only id
-and text are read.
+and text are read. Documents that are themselves the outcome of a shuffle should be written as a table first: batches are
+named by partition and place, which a recomputed shuffle may fill in another order.
 """
 
 from __future__ import annotations
