@@ -20,6 +20,7 @@ from tapeline.ledger import Ledger
 from tapeline.operators import market, profile, replay
 from tapeline.params import FRESHNESS_STATUSES, PROFILE_STATUSES, Params
 from tapeline.sources.snapshot import Snapshot, verify
+from tapeline.staging import staged
 
 #: The market's index among the tickers.
 INDEX = "^IHSG"
@@ -99,8 +100,8 @@ def replay_result(snapshot: Snapshot, days: int, fee_profile: str, p: Params) ->
     if dates.isEmpty():
         raise ValueError("the snapshot has no market index")
     stocks = bars.where(~F.col("ticker").startswith("^"))
-    found = replay.candidates(stocks, index, dates, p).cache()
-    dated = replay.dated_bars(stocks, index, dates, p)
+    dated = staged(replay.dated_bars(stocks, index, dates, p), "dated")
+    found = replay.candidates(stocks, index, dates, p, dated).cache()
     signals = found.where("bucket = 'QUALIFIED'").select("arm", "ticker", "date", "score", "entry", "sl", "tp1", "dec_no", "halts", "suspended")
     booked = replay.book(replay.outcomes(signals, dated, p), replay.as_of(dated).select("ticker", "date", "close"), caps, dates, (fee_profile,), p).cache()
     trades = booked.where("kind = 'TRADE'")
