@@ -20,12 +20,13 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tapeline.canonical import canonical_id, canonical_json, sha256_hex
+from tapeline.staging import staged
 
 _ROW_FILE = re.compile(r"\d{12}-[0-9a-f]{64}\.parquet")
 
@@ -99,13 +100,15 @@ class WriterLockHeld(RuntimeError):
     pass
 
 
-def sequenced(rows: DataFrame, start: int, order: Sequence[str], parts: int = 64) -> DataFrame:
+def sequenced(rows: DataFrame, start: int, order: Sequence[str | Column], parts: int = 64) -> DataFrame:
     """rows with ledger_seq = start + 1, start + 2, ... in the given order.
 
-    The rows are sorted by ranges; only the sizes of the ranges are summed in one place.
+    The rows are sorted by ranges; only the sizes of the ranges are summed in one place. The bounds of the ranges come
+    from a sample, which another evaluation would take anew, so the sorted rows are written once, and both the sizes
+    and the rows are read from there.
     """
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    numbered = ranged.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = staged(ranged, "sequenced").withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = numbered.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return numbered.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("ledger_seq", F.col("_before") + F.col("_i") + start + 1).drop("_m", "_p", "_i", "_before")

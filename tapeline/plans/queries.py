@@ -360,7 +360,10 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger_seq(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.sequenced(_records(spark, sf), start=1000, order=["no"]).select("id", "ledger_seq")
+    """Orders numbered by key, those without a key last as in SQL; the ids follow from the keys, so they are made after the sort."""
+    keys = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("no"))
+    numbered = ledger.sequenced(keys, start=1000, order=[F.col("no").asc_nulls_last()])
+    return numbered.select(F.sha2(F.col("no").cast("string"), 256).alias("id"), "ledger_seq")
 
 
 def ledger_unique_violations(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.operators import append as ap
 
@@ -77,6 +78,14 @@ def test_cases_of_a_ledger(spark, tmp_path):
     assert sorted((r.id, r.ledger_seq) for r in spark.read.parquet(path).collect()) == [("next", 2), ("run", 1)]
 
 
+def test_numbers_of_a_large_batch(spark, tmp_path):
+    """Every new record gets a number of its own, in the batch's order, without gaps."""
+    rows = spark.range(40_000, numPartitions=2)
+    columns = [(F.col("id") * 7919 % 40_009).alias("no"), F.concat(F.lit("r"), "id").alias("id"), F.lit("d").alias("result_digest")]
+    got = ap.append(spark, str(tmp_path / "t"), rows.select(*columns), order=["no"]).orderBy("no").collect()
+    assert [r.ledger_seq for r in got] == list(range(1, 40_001))
+
+
 def test_nothing_to_append(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     assert ap.append(spark, str(tmp_path / "t"), none, order=["no"], unique=["a"]).collect() == []

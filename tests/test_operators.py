@@ -10,6 +10,8 @@ from tapeline.canonical import canonical_json, iso_from_micros, micros_from_iso
 from tapeline.ledger import Ledger, LedgerIntegrityError, WriterLockHeld, dangling, sequenced, unique_violations
 from tapeline.operators import market, profile, replay
 from tapeline.params import BUCKETS, Params
+from tapeline.plans.queries import QUERIES
+from tapeline.plans.sql import SQL
 
 D = dt.date
 
@@ -170,6 +172,27 @@ def test_ledger_queries(spark):
     assert dangling(rows, "k", spark.createDataFrame([(0,), (1,)], "id long")).where("k < 2").isEmpty()
 
 
+def test_sequence_over_sampled_ranges(spark):
+    """More rows than the bounds of the ranges are sampled from: sizes and rows must come from the same ranges."""
+    rows = spark.range(40_000, numPartitions=2).select((F.col("id") * 7919 % 40_009).alias("no"), F.col("id").cast("string").alias("text"))
+    got = sequenced(rows, 10, ["no"], parts=8).orderBy("no").collect()
+    assert [r.no for r in got] == sorted(i * 7919 % 40_009 for i in range(40_000)) and [r.ledger_seq for r in got] == list(range(11, 40_011))
+    assert all(int(r.text) * 7919 % 40_009 == r.no for r in got)
+
+
+def test_ledger_seq_equals_its_sql(spark, tmp_path):
+    """Negative, repeated and missing keys, in more rows than the bounds of the ranges are sampled from."""
+    duckdb = pytest.importorskip("duckdb")
+    key = F.when(F.col("id") % 1000 != 0, F.col("id") * 7919 % 40_009 - 20_000)
+    orders = spark.range(40_000, numPartitions=1).select(key.alias("o_orderkey"), F.lit(1).alias("o_custkey"))
+    orders.union(orders.limit(50)).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        want = db.execute(SQL["ledger_seq"]).fetchall()
+    got = [tuple(r) for r in QUERIES["ledger_seq"](spark, str(tmp_path)).collect()]
+    assert len(want) == 40_050 and sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
 def test_canonical():
     assert canonical_json({"b": 1, "a": [2, "é"]}) == '{"a":[2,"é"],"b":1}'
     with pytest.raises(ValueError):
